@@ -115,13 +115,29 @@ class Words:
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.first = np.searchsorted(self.starts, self.offsets)
-        self.hashes = None
-        if hashes:
-            up, down = _power_tables(len(codes) + 1)
-            sums = np.empty(len(codes) + 1, U64)
+        self.hashes = self._hashes(codes) if hashes else None
+
+    def _hashes(self, codes: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """By pieces of about 1 MB that end where a text does, so that the sums stay in the cache."""
+        out = np.empty(len(self.starts), U64)
+        cut = np.unique(np.searchsorted(self.offsets, np.arange(0, self.offsets[-1], most)))
+        cut = np.append(cut[cut < len(self.offsets) - 1], len(self.offsets) - 1)
+        for k, j in zip(cut, cut[1:]):
+            lo, hi = self.offsets[k], self.offsets[j]
+            a, b = self.first[k], self.first[j]
+            up, down = _power_tables(int(hi - lo) + 1)
+            sums = np.empty(hi - lo + 1, U64)
             sums[0] = 0
-            np.cumsum(_LETTERS[codes] * up[: len(codes)], out=sums[1:])
-            self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64))
+            part = _LETTERS[codes[lo:hi]]
+            part *= up[: hi - lo]
+            np.cumsum(part, out=sums[1:])
+            starts, ends = self.starts[a:b] - lo, self.ends[a:b] - lo
+            h = sums[ends]
+            h -= sums[starts]
+            h *= down[starts]
+            h += (ends - starts).astype(U64)
+            out[a:b] = mix(h)
+        return out
 
     def windows(self, width: int, seed: int = 1) -> np.ndarray:
         """Hash of the `width` words from each word on; those that run over a text's end are invalid."""

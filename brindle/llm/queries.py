@@ -24,5 +24,68 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(_table(spark, sf_dir, "documents"), width=13, text=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.ann_forest import neighbours
+
+    return neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.language_mixture import fit, held_out, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    models = fit(docs.where(~held_out()))
+    return identify(docs, models).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.source_mixing import mix, taken
+
+    return taken(*mix(_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.byte_bpe import digests
+
+    return digests(_table(spark, sf_dir, "documents"), ranks_path())
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.quality_rules import score
+
+    return score(_table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc, op2_html_text, op3_ann_forest, op4_ngram_jaccard, op5_language_mixture, op6_source_mixing, op8_byte_bpe, op9_quality_rules, op10_substring_dedup)
+}
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+             g as (select h, max(page_id) as keep from p where octet_length(encode(h)) >= 1000 group by h)
+        select p.page_id, cast(octet_length(encode(p.h)) as bigint) as payload_bytes, sha1(p.h) as payload_digest,
+               case when g.keep is null or g.keep = p.page_id then 'response' else 'revisit' end as record_type,
+               case when g.keep <> p.page_id then g.keep end as refers_to
+        from p left join g on p.h = g.h""",
+}
