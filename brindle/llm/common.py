@@ -61,6 +61,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(self.path(name))
+        # the JVM's next collection lets Spark's cleaner delete the finished step's shuffle files
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -68,11 +70,6 @@ class Scratch:
             _remove(self.spark, self.path(name))
 
 
-def scan_partitions(df: DataFrame, per_core: int = 1) -> DataFrame:
-    """As it is: the scan's own splits (spark.sql.files.maxPartitionBytes) bound a task's input."""
-    return df
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(U64, copy=True)

@@ -56,6 +56,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(*mix(_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.byte_bpe import digests
 
@@ -76,7 +82,7 @@ def ranks_path() -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_html_text, op3_ann_forest, op4_ngram_jaccard, op5_language_mixture, op6_source_mixing, op8_byte_bpe, op9_quality_rules, op10_substring_dedup)
+    for f in (op1_warc, op2_html_text, op3_ann_forest, op4_ngram_jaccard, op5_language_mixture, op6_source_mixing, op7_line_dedup, op8_byte_bpe, op9_quality_rules, op10_substring_dedup)
 }
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
