@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.common import Scratch, n_words
+from brindle.llm.common import WORD, Scratch, n_words
 
 GOLDEN = 0.6180339887498949
 BLOCK = 8192  # words of a slot, about
@@ -104,7 +104,7 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, slices).
 
-    documents: row, id, source, size, source_size, target, for each row of docs; row tells rows
+    documents: row, id, source, shuffle, size, source_size, target, for each row of docs; row tells rows
     apart. slices: row, slot, epoch, start, words: the mix takes `words` words from word `start` of
     the document in that slot; in order of slot, epoch and position they are the mix. The slices of
     a source add up to its target, rounded; those of a document to `most` times its size at most.
@@ -143,7 +143,7 @@ def mix(
     streams = streams.withColumn("lo", F.greatest(F.col("a"), bound("rank"))).withColumn("hi", F.least(F.col("b"), bound("rank + 1"))).where("lo < hi")
     joined = streams.select("row", "source_rank", "rank", "epoch", "a", "lo", "hi").join(plan.select("source_rank", "rank", "slot"), ["source_rank", "rank"])
     slices = joined.select("row", "slot", "epoch", (F.col("lo") - F.col("a")).alias("start"), (F.col("hi") - F.col("lo")).alias("words"))
-    documents = placed.select("row", F.col("id").alias(id_col), "source", "size", "source_size", "target")
+    documents = placed.select("row", F.col("id").alias(id_col), "source", "shuffle", "size", "source_size", "target")
     return documents, slices
 
 
@@ -151,3 +151,24 @@ def taken(documents: DataFrame, slices: DataFrame) -> DataFrame:
     """documents with `taken`: the words that the mix takes of each, repeats counted."""
     sums = slices.groupBy("row").agg(F.sum("words").alias("taken"))
     return documents.join(sums, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("row")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix's documents, with all columns of docs: a row for each pass over a document.
+
+    A document that the mix takes twice comes twice, one it takes in part with that part of its
+    words (joined by one space), one it doesn't take not at all. The order of slots isn't kept: rows
+    are as many as the mix's, in any order. Rows without words have no part in a mix and go.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    seed = options.get("seed", 42)
+    documents, slices = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, scratch=scratch, **options)
+    passes = slices.groupBy("row", "epoch").agg(F.min("start").alias("start"), F.sum("words").alias("words"))
+    passes = passes.join(documents.select("row", F.col(id_col).alias("__id"), F.col("shuffle").alias("__key"), "size"), "row")
+    passes = passes.groupBy("__id", "__key", "size").agg(F.collect_list(F.struct("start", "words")).alias("__passes"))
+    keyed = docs.withColumn("__own", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    # equal rows are one here; what the mix takes of each is in the list
+    rows = keyed.join(passes, (F.col("__own") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id"))).dropDuplicates(["__id", "__key"])
+    rows = rows.withColumn("__pass", F.explode("__passes"))
+    part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), (F.col("__pass.start") + 1).cast("int"), F.col("__pass.words").cast("int")), " ")
+    return rows.withColumn(text_col, F.when(F.col("__pass.words") == F.col("size"), F.col(text_col)).otherwise(part)).select(*docs.columns)
