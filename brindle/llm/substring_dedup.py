@@ -10,7 +10,7 @@ bucket, where windows are sorted by hash and equal hashes settled on the words t
 
 Skew. Before strings are sent, a map task settles repeats among the documents it holds: only the
 occurrence in the smallest document is sent, all others are known to be repeats. So however often a
-passage occurs, a bucket gets it once per batch of about 16 MB of text.
+passage occurs, a bucket gets it once per batch of about 8 MB of text.
 """
 
 from __future__ import annotations
@@ -28,33 +28,41 @@ from pyspark.sql import functions as F
 from brindle.llm.common import U64, Words, byte_batches
 
 SUB = 3
-BATCH = 16_000_000
+BATCH = 8_000_000
 _SPANS = "bucket int, doc_id long, packed binary, spans binary"
 
 
-def _first_of_equal(words: Words, at: np.ndarray, hashes: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
+def _repeated(words: Words, at: np.ndarray, hashes: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
     """For each window (word index `at`): is there an equal one in a document with a smaller id?
 
-    Sorts by hash and document; windows that share a hash are compared as word sequences.
+    Sorts by hash; windows that share a hash are compared word by word.
     """
-    order = np.lexsort((docs, hashes))
-    h, d = hashes[order], docs[order]
+    order = np.argsort(hashes)
+    h = hashes[order]
+    out = np.zeros(len(h), bool)
     same = h[1:] == h[:-1]
-    repeated = np.zeros(len(h), bool)
     if not same.any():
-        return repeated
-    run_start = np.flatnonzero(np.concatenate([[True], ~same]))
-    run_end = np.append(run_start[1:], len(h))
-    for a, b in zip(run_start, run_end):
-        if b - a < 2 or d[a] == d[b - 1]:
-            continue
+        return out
+    # only windows whose hash occurs twice go on
+    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    order, h = order[twice], h[twice]
+    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    size = np.diff(np.append(begin, len(h)))
+    d, w = docs[order], at[order]
+    head = np.repeat(w[begin], size)
+    differ = np.zeros(len(h), bool)
+    for j in range(width):
+        differ |= words.hashes[w + j] != words.hashes[head + j]
+    out[order] = d > np.repeat(np.minimum.reduceat(d, begin), size)
+    run = np.repeat(np.arange(len(begin)), size)
+    for r in np.unique(run[differ]):  # different sequences of one hash: hardly ever
         first: dict[bytes, int] = {}
-        for k in range(a, b):
-            w = at[order[k]]
-            text = b" ".join(words.data[words.starts[x] : words.ends[x]] for x in range(w, w + width)) if not words.packed else words.data[words.starts[w] : words.ends[w + width - 1]]
-            if first.setdefault(text, d[k]) < d[k]:
-                repeated[order[k]] = True
-    return repeated
+        for k in np.flatnonzero(run == r):
+            key = words.hashes[w[k] : w[k] + width].tobytes()
+            first[key] = min(first.get(key, d[k]), d[k])
+        for k in np.flatnonzero(run == r):
+            out[order[k]] = first[words.hashes[w[k] : w[k] + width].tobytes()] < d[k]
+    return out
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +91,6 @@ def _route(width: int, buckets: int):
         def settle(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
             ids = np.array([r[0] for r in rows], np.int64)
             words = Words([r[1] for r in rows])
-            words.packed = False
             hashes = words.windows(width)
             if not len(hashes):
                 return
@@ -91,11 +98,11 @@ def _route(width: int, buckets: int):
             valid = doc[: len(hashes)] == doc[width - 1 :]
             repeated = np.zeros(len(hashes), bool)
             at = np.flatnonzero(valid)
-            repeated[at] = _first_of_equal(words, at, hashes[at], ids[doc[at]], width)
-            local = {}
+            repeated[at] = _repeated(words, at, hashes[at], ids[doc[at]], width)
+            # runs cross into the next document only over invalid windows, which aren't repeated
             starts, ends = _runs(repeated)
-            for a, b in zip(starts, ends):  # runs cross into the next document only over invalid windows
-                local.setdefault(doc[a], []).append((a - words.first[doc[a]], b - words.first[doc[a]] + width - 1))
+            own = doc[starts]
+            local = np.stack([starts - words.first[own], ends - words.first[own] + width - 1], 1)
             sub = words.windows(SUB, seed=7)
             sent = valid & ~repeated
             minimiser = _covering(valid, sub, width)
@@ -107,18 +114,19 @@ def _route(width: int, buckets: int):
             bucket = (sub[minimiser[first]] % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.diff(bucket[order])) + 1
+            plain = words.data.translate(_TO_SPACE)
+            wide = np.concatenate([[0], np.cumsum(words.starts[1:] - words.ends[:-1] != 1), [0]])  # gaps of more than one byte so far
             out = []
             for part in np.split(order, cut) if len(order) else []:
                 a, b = first[part], last[part] + width
                 head = np.stack([ids[doc[a]], a - words.first[doc[a]], b - a]).astype(np.int64)
-                lo, hi = words.starts[a], words.ends[b - 1]
-                plain = all_single = b"\n".join(_packed(words, x, y, p, q) for x, y, p, q in zip(lo, hi, a, b))
-                del all_single
-                blob = len(part).to_bytes(8, "little") + head.tobytes() + plain
+                tight = wide[b - 1] == wide[a]
+                spans = zip(words.starts[a].tolist(), words.ends[b - 1].tolist(), tight.tolist(), a.tolist(), b.tolist())
+                texts = [plain[lo:hi] if one else b" ".join(plain[words.starts[k] : words.ends[k]] for k in range(x, y)) for lo, hi, one, x, y in spans]
+                blob = len(part).to_bytes(8, "little") + head.tobytes() + b"\n".join(texts)
                 out.append((int(bucket[part[0]]), None, packer.compress(blob), None))
-            for k, spans in local.items():
-                doc_id = int(ids[k])
-                out.append((hash(doc_id) % buckets, doc_id, None, np.array(spans, np.int64).tobytes()))
+            for k, spans in _by_document(own, local):
+                out.append((int(ids[k]) % buckets, int(ids[k]), None, spans.tobytes()))
             for a in range(0, len(out), 500):
                 b_, d_, p_, s_ = zip(*out[a : a + 500])
                 yield pa.RecordBatch.from_arrays([pa.array(b_, pa.int32()), pa.array(d_, pa.int64()), pa.array(p_, pa.binary()), pa.array(s_, pa.binary())], names=["bucket", "doc_id", "packed", "spans"])
@@ -137,12 +145,11 @@ def _route(width: int, buckets: int):
     return run
 
 
-def _packed(words: Words, lo: int, hi: int, a: int, b: int) -> bytes:
-    """Words a..b joined by one space. Mostly they are so in the text already."""
-    if hi - lo - (b - a - 1) == int((words.ends[a:b] - words.starts[a:b]).sum()):
-        text = words.data[lo:hi]
-        return text.translate(_TO_SPACE)
-    return b" ".join(words.data[words.starts[k] : words.ends[k]] for k in range(a, b))
+def _by_document(docs: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(docs, kind="stable")
+    cut = np.flatnonzero(np.diff(docs[order])) + 1
+    for part in np.split(order, cut) if len(order) else ():
+        yield int(docs[part[0]]), spans[part].astype(np.int64)
 
 
 _TO_SPACE = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
@@ -151,10 +158,11 @@ _TO_SPACE = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 def _settle_bucket(width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor()
-        heads, texts, spans = [], [], {}
+        heads, texts, spans, owners = [], [], [], []
         for doc_id, packed, own in zip(pdf["doc_id"], pdf["packed"], pdf["spans"]):
             if packed is None:
-                spans.setdefault(int(doc_id), []).append(np.frombuffer(own, np.int64).reshape(-1, 2))
+                spans.append(np.frombuffer(own, np.int64).reshape(-1, 2))
+                owners.append(np.full(len(spans[-1]), int(doc_id)))
                 continue
             blob = unpack.decompress(packed)
             n = int.from_bytes(blob[:8], "little")
@@ -163,16 +171,17 @@ def _settle_bucket(width: int):
         if heads:
             doc_ids, begin, length = np.concatenate(heads, 1)
             words = Words(texts)
-            words.packed = True
             hashes = words.windows(width)
             item = np.repeat(np.arange(len(texts)), length)
             at = np.flatnonzero(item[: len(hashes)] == item[width - 1 :]) if len(hashes) else np.empty(0, np.int64)
-            repeated = _first_of_equal(words, at, hashes[at], doc_ids[item[at]], width)
-            for w in at[repeated]:
-                k = item[w]
-                start = int(begin[k] + w - words.first[k])
-                spans.setdefault(int(doc_ids[k]), []).append(np.array([[start, start + width]]))
-        rows = [(doc_id, _merged(np.concatenate(s)).tobytes()) for doc_id, s in spans.items()]
+            at = at[_repeated(words, at, hashes[at], doc_ids[item[at]], width)]
+            start = begin[item[at]] + at - words.first[item[at]]
+            owners.append(doc_ids[item[at]])
+            spans.append(np.stack([start, start + width], 1))
+        if not spans:
+            return pd.DataFrame({"doc_id": pd.Series(dtype="int64"), "spans": pd.Series(dtype="object")})
+        found = _by_document(np.concatenate(owners), np.concatenate(spans))
+        rows = [(doc_id, _merged(s).tobytes()) for doc_id, s in found]
         return pd.DataFrame(rows, columns=["doc_id", "spans"])
 
     return run
