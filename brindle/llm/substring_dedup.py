@@ -82,7 +82,7 @@ def _covering(valid: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
     return at + np.arange(n)
 
 
-def _route(width: int, buckets: int):
+def _route(width: int, buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         held: list[tuple[int, bytes]] = []
@@ -134,7 +134,7 @@ def _route(width: int, buckets: int):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
                 if doc_id is not None and text:
-                    if held and size + len(text) > BATCH:
+                    if held and size + len(text) > most:
                         yield from settle(held)
                         held, size = [], 0
                     held.append((doc_id, text))
@@ -196,14 +196,14 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[stops]], 1).astype(np.int64)
 
 
-def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, batch: int = BATCH) -> DataFrame:
     """(doc_id, spans): each document's word spans [from, to) covered by repeated windows; spans is packed int64.
 
     Rows come from several buckets, so a document may have several. The number of buckets follows
     spark.sql.shuffle.partitions, which is set by the size of the input, so a bucket stays small.
     """
     buckets = buckets or 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_route(width, buckets), _SPANS)
+    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_route(width, buckets, batch), _SPANS)
     return sent.groupBy("bucket").applyInPandas(_settle_bucket(width), "doc_id long, spans binary")
 
 
@@ -231,7 +231,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def strip_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", text: bool = True) -> DataFrame:
+def strip_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", text: bool = True, batch: int = BATCH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, kept_sha256), a row for each row of docs.
 
     kept_text: the words left, joined by one space; without `text` it is left out. Null and empty
@@ -239,7 +239,7 @@ def strip_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text
     document stay. Rows that share a doc_id are judged each against smaller ids only, and the spans
     found in any of them are removed from all. Rows with a null doc_id stay whole.
     """
-    spans = repeated_spans(docs, width, id_col, text_col).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    spans = repeated_spans(docs, width, id_col, text_col, batch=batch).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(spans, "doc_id", "left")
     out = rows.select("doc_id", "text", "spans").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_text binary, kept_sha256 string")
     return out.withColumn("kept_text", F.decode("kept_text", "UTF-8")) if text else out.drop("kept_text")
