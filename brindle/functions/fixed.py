@@ -133,3 +133,38 @@ ANY_NUMBER = r"(?<![\d'’.,])(?:\d{1,3}(?:['’ .,]\d{3})+(?!\d)|\d+)(?:[.,]\d{
 
 # --- fixed values: street abbreviations, on normalised text ---
 STREET_WORDS = {r"str\b": "strasse", r"\brte\b": "route", r"\bave?\b": "avenue", r"\bch\b": "chemin", r"\bbd\b": "boulevard", r"\bpl\b": "place"}
+
+# --- fixed values: attributes of a text, on lower-cased text ---
+ENUMS = {
+    "view": (
+        ("lake", KEYWORDS["lake_view"]),
+        ("mountain", KEYWORDS["mountain_view"]),
+        ("city", r"stadtblick|sicht auf die stadt|vue sur la ville|vista sulla citt|city view"),
+        ("other", r"aussicht|weitsicht|fernsicht|panorama|vue d[ée]gag|vista aperta"),
+    ),
+    "parking": (("garage", KEYWORDS["garage"]), ("outdoor", KEYWORDS["parking"])),
+    "rent_regime": (
+        ("shared_flat", r"\bwg[- ]?zimmer|mitbewohner(?:in)? gesucht|chambre (?:en|dans une?) colocation|room in (?:a )?(?:shared flat|flatshare)|flatmate wanted"),
+        ("cooperative", KEYWORDS["cooperative"]),
+        ("cost_based_or_subsidised", KEYWORDS["subsidised"]),
+    ),
+}
+DENIALS = {
+    "has_lift": r"(?:ohne|kein(?:en)?)\s+(?:lift|aufzug)|sans ascenseur|senza ascensore",
+    "is_furnished": r"unm(?:ö|oe|o)bliert|nicht\s+m(?:ö|oe|o)bliert|non[- ]meubl|pas meubl|non[- ]arredat|unfurnished",
+    "is_temporary": r"unbefristet|nicht\s+befristet|dur[ée]e ind[ée]termin|indeterminat",
+    "pets_allowed": r"keine (?:haus)?tiere|tiere\s+(?:sind\s+)?nicht\s+(?:erlaubt|gestattet)|pas d'animaux|animaux (?:non|pas|interdit)|(?:niente|nessun|no)\s+animali|animali non|no pets",
+    "has_own_washer": r"gemeinsame\w*\s+waschk|waschk[üu]che zur mitben|buanderie commune|lavanderia comune|shared laundry",
+}
+FLAGS = {
+    "has_lift": KEYWORDS["lift"],
+    "has_balcony_or_terrace": f"{KEYWORDS['balcony']}|{KEYWORDS['terrace']}",
+    "is_furnished": KEYWORDS["furnished"],
+    "is_temporary": KEYWORDS["temporary"],
+    "is_minergie": KEYWORDS["minergie"],
+    "pets_allowed": r"tiere\s+(?:sind\s+)?(?:erlaubt|willkommen|gestattet)|katzen erlaubt|animaux (?:admis|accept|bienvenu|autoris)|animali (?:ammessi|benvenuti|consentiti)|pets? (?:allowed|welcome)",
+    "has_garden": KEYWORDS["garden"],
+    "has_own_washer": KEYWORDS["own_washer"],
+    "is_new_build": KEYWORDS["new_build"],
+    "is_attic": KEYWORDS["attic"],
+}

@@ -155,10 +155,11 @@ def test_language_votes(spark):
 
 
 def test_attributes_and_negation(spark):
-    df = spark.createDataFrame([(1, "Schöne 3.5-Zimmer-Wohnung, 85 m2, 2. OG, kein Lift, renoviert 2019"), (2, "Studio mit Lift"), (3, None)], "id long, t string")
+    df = spark.createDataFrame([(1, "Schöne 3.5-Zimmer-Wohnung, 85 m2, 2. OG, kein Lift, renoviert 2019"), (2, "Studio mit Lift, Seesicht und Garage, unmöbliert"), (3, None)], "id long, t string")
     got = {r.id: r for r in text.attributes(df, "id", "t").collect()}
     assert (got[1].rooms, got[1].area_sqm, got[1].floor, got[1].renovation_year, got[1].has_lift) == (3.5, 85.0, 2, 2019, False)
-    assert got[2].has_lift is True and got[3].rooms is None
+    assert got[2].has_lift is True and got[3].rooms is None and got[3].view is None
+    assert (got[2].view, got[2].parking, got[2].is_furnished) == ("lake", "garage", False)
 
 
 def test_addresses(spark):
