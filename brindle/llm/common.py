@@ -65,11 +65,37 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def buckets(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """`table`, bucketed by a key: joins and aggregates on the key then move none of its rows."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"brindle_{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(n, key).option("path", self.path(name)).saveAsTable(table)
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         for name in names:
             _remove(self.spark, self.path(name))
 
 
+SIEVE = 1 << 18  # rows of a sieve, 64 bits each
+
+
+def sieved(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """df with all rows whose key is in `wanted` (one column), and only some of the others, before they are shuffled.
+
+    A Bloom filter of one hash as a table: SIEVE rows of 64 bits at most, some 4 MB, so it is
+    broadcast whatever the number of keys. With more keys it lets more through; a join must follow.
+    """
+    h = F.xxhash64(F.lit(17), wanted.columns[0])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))
+    sieve = wanted.select(F.pmod(h, F.lit(SIEVE)).alias("__cell"), bit.alias("__bit")).groupBy("__cell").agg(F.bit_or("__bit").alias("__bits"))
+    own = F.xxhash64(F.lit(17), column)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(own, 32), F.lit(64)).cast("int"))
+    rows = df.join(F.broadcast(sieve), F.pmod(own, F.lit(SIEVE)) == F.col("__cell"))
+    return rows.where(F.col("__bits").bitwiseAND(mask) != 0).drop("__cell", "__bits")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(U64, copy=True)

@@ -8,7 +8,8 @@ Method. Shingles are hashed into groups, and a document is a point of group coun
 two sets is at most the summed minima of their points, so an R-tree whose nodes hold the largest
 count of each group (`CountTree`) finds all partners whose bound suffices. Over a whole table this
 alone prunes little: random points differ by about the square root of the counts, which for long
-texts is less than the threshold lets pass. So the tree searches inside blocks that lose no link:
+texts is less than the threshold lets pass unless the groups are many, and then a node's largest
+counts say little. So the tree searches inside blocks that lose no link:
 sets of at least the threshold's similarity differ in at most d shingles, so of more than d groups
 at least one is the same in both, and a block is one group's content.
 
@@ -30,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import U64, Scratch, Words, byte_batches, mix
+from brindle.llm.common import U64, Scratch, Words, byte_batches, mix, sieved
 from brindle.llm.graph import components
 
-GROUPS = 64  # coordinates of a point
+GROUPS = 64  # coordinates of a small set's point; larger sets have more, about twice their size
 BAND = 1.5  # ratio of the set sizes at which the number of block groups changes
 CHUNK = 2048  # nodes of a block that are compared at a time
 _MASK = (1 << 64) - 1
@@ -80,6 +81,8 @@ class Bands:
 def block_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """One key for each group of a set: equal groups give equal keys. Sets that must be equal to link give none."""
     keys = []
+    if not len(shingles):
+        return np.empty(0, U64)
     scrambled = np.concatenate([np.zeros(1, U64), np.cumsum(mix(shingles ^ U64(0x5851F42D4C957F2D)))])
     for band in bands.of(len(shingles)):
         d = bands.differ[band]
@@ -98,9 +101,37 @@ def block_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys) if keys else np.empty(0, U64)
 
 
-def points(shingles: np.ndarray) -> np.ndarray:
-    """Counts of the shingles' groups (by low bits, apart from those of the blocks)."""
-    return np.bincount((shingles & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def _groups(size: int) -> int:
+    return max(GROUPS, 1 << (3 * size // 2).bit_length())
+
+
+def points(shingles: np.ndarray) -> bytes:
+    """Counts of the shingles' groups, packed: two bits a count, then (group, count) of those above 3.
+
+    Groups are by low bits, apart from those of the blocks. With more groups for larger sets the
+    counts stay small, and the bound tight. The number is a power of two, so a point with twice as
+    many folds to one with fewer.
+    """
+    groups = _groups(len(shingles))
+    counts = np.bincount((shingles & U64(groups - 1)).astype(np.int64), minlength=groups)
+    low = np.minimum(counts, 3).astype(np.uint8)
+    above = np.flatnonzero(counts > 3)
+    return np.packbits(low & 1).tobytes() + np.packbits(low >> 1).tobytes() + np.stack([above, counts[above]]).astype(np.uint32).tobytes()
+
+
+def unpacked(point: bytes, size: int) -> np.ndarray:
+    groups = _groups(size)
+    low, high = np.unpackbits(np.frombuffer(point, np.uint8, groups // 4)).reshape(2, groups)
+    counts = (low + 2 * high).astype(np.int32)
+    above, real = np.frombuffer(point, np.uint32, offset=groups // 4).reshape(2, -1)
+    counts[above] = real
+    return counts
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points of the same, namely the least, number of groups."""
+    groups = min(map(len, points))
+    return np.stack([p.reshape(-1, groups).sum(0) for p in points])
 
 
 class CountTree:
@@ -144,7 +175,7 @@ def _features(n: int, percent: int, id_col: str, text_col: str):
                 for s in shingle_sets([t or b"" for t in texts[a:b]], n):
                     both = mix(s), mix(s ^ U64(0xA0761D6478BD642F))
                     ids = [int(x.sum(dtype=U64)) - (1 << 63) for x in both]
-                    rows.append((len(s), *ids, points(s).tobytes() if len(s) else b"", block_keys(s, bands).view(np.int64)))
+                    rows.append((len(s), *ids, points(s) if len(s) else b"", block_keys(s, bands).view(np.int64)))
                 size, s1, s2, point, keys = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_col)[a:b].cast(pa.int64()), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(point, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -191,7 +222,8 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
     counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / 5000).cast("long").alias("parts"))
     dealt = pairs.join(counts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.lit(False).alias("own"), F.col("a").alias("id"))
     centres = counts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("own"), F.col("b").alias("id"))
-    rows = docs.join(dealt.union(centres), "id").select("b", "part", "own", F.col("id").alias("a"), "text")
+    roles = dealt.union(centres)
+    rows = sieved(docs, "id", roles.select("id")).join(roles, "id").select("b", "part", "own", F.col("id").alias("a"), "text")
     rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.desc("own"))
     return rows.mapInArrow(_verified(n, percent), "a long, b long")
 
@@ -202,12 +234,13 @@ def _search_blocks(percent: int):
     def found(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         i, j = rows[0][1], rows[0][2]
         target = [r for r in rows if r[3] == i]
-        counts = np.stack([np.frombuffer(r[7], np.int32) for r in target])
+        at = folded([unpacked(r[7], r[6]) for r in rows])
+        counts = at[[k for k, r in enumerate(rows) if r[3] == i]]
         sizes, labels = np.array([r[6] for r in target]), np.array([r[5] for r in target])
         tree = CountTree(counts, sizes, labels) if len(target) else None
-        for r in rows:
+        for point, r in zip(at, rows):
             if r[3] == j and tree:
-                for k in tree.search(np.frombuffer(r[7], np.int32), r[6], r[5], percent):
+                for k in tree.search(point, r[6], r[5], percent):
                     a, b = target[k][4], r[4]
                     if i != j or a > b:
                         yield max(a, b), min(a, b)
@@ -272,7 +305,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     spread = mixed.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
     rows = mixed.join(spread, "key").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("long"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    kept_points = nodes.select("id", "size", "point").dropDuplicates(["id"])
+    kept_points = real.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "point")
     rows = rows.join(kept_points, "id").select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "label", F.col("size").cast("long"), "point")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     across = rows.mapInArrow(_search_blocks(percent), "a long, b long").distinct()
