@@ -84,8 +84,9 @@ QUERIES = {
     f.__name__: f
     for f in (op1_warc, op2_html_text, op3_ann_forest, op4_ngram_jaccard, op5_language_mixture, op6_source_mixing, op7_line_dedup, op8_byte_bpe, op9_quality_rules, op10_substring_dedup)
 }
-_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
+#: The others have no SQL form (trained models, hashes, merges, HTML); tests compare them with brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
@@ -94,4 +95,25 @@ ORACLE_SQL: dict[str, str] = {
                case when g.keep is null or g.keep = p.page_id then 'response' else 'revisit' end as record_type,
                case when g.keep <> p.page_id then g.keep end as refers_to
         from p left join g on p.h = g.h""",
+    "op4_ngram_jaccard": f"""
+        with recursive w as (select doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+             x as (select doc_id, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+             g as (select doc_id, n, pos, list(word) over (partition by doc_id order by pos rows between current row and 3 following) as s from x),
+             d as (select distinct doc_id, hash(s) as s from g where pos <= greatest(n - 3, 1)),
+             c as (select doc_id, count(*) as k from d group by doc_id),
+             i as (select a.doc_id as a, b.doc_id as b, count(*) as k from d a join d b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+             l as (select i.a, i.b from i join c x on i.a = x.doc_id join c y on i.b = y.doc_id where 100 * i.k >= 85 * (x.k + y.k - i.k)),
+             e as (select a, b from l union all select b, a from l),
+             r(doc_id, seen) as (select doc_id, doc_id from documents union select e.b, r.seen from r join e on e.a = r.doc_id),
+             m as (select doc_id, min(seen) as component_id from r group by doc_id)
+        select m.doc_id, coalesce(c.k, 0) as n_shingles, component_id from m left join c on m.doc_id = c.doc_id""",
+    "op10_substring_dedup": f"""
+        with w as (select doc_id, {_WORDS.format(text="coalesce(text, '')")} as ws from documents),
+             x as (select doc_id, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+             g as (select doc_id, n, pos, word, array_to_string(list(word) over (partition by doc_id order by pos rows between current row and 12 following), ' ') as s from x),
+             f as (select s, min(doc_id) as first_id from g where pos <= n - 12 group by s),
+             h as (select g.doc_id, g.pos, g.word, f.first_id < g.doc_id as again from g left join f on g.s = f.s and g.pos <= g.n - 12),
+             k as (select doc_id, pos, word, coalesce(bool_or(coalesce(again, false)) over (partition by doc_id order by pos rows between 12 preceding and current row), false) as gone from h),
+             o as (select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by pos) filter (where not gone) as kept from k group by doc_id)
+        select w.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join o on w.doc_id = o.doc_id""",
 }
