@@ -50,15 +50,24 @@ def radius_pairs(df: DataFrame, id_col: str, radius: float, x: str = "east", y:
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, cell: float, x: str = "east", y: str = "north", exclude_self: bool = False, condition: Column | None = None, rounds: int = 24) -> DataFrame:
     """left_id, right's columns with the prefix r_, distance and rank 1..k; ties by right_id.
 
-    Rings of cells: each round joins the open rows with the right rows within a radius that doubles,
-    and closes those that found k. A right row within the radius can't be missed, so k found are the
-    k nearest. Rows left after `rounds` (fewer than k partners in all) keep what they found.
+    Each round joins the open rows with the right rows within a radius, closes those that found k,
+    and triples the radius for the rest. A right row within the radius can't be missed, so k found
+    are the k nearest. The first radius holds some 2 k rows at the mean density (at most `cell`
+    where nothing else is known); rows with fewer than k partners in all keep what there is.
     """
-    open_, done, radius = left.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [], float(cell)
+    open_, done = left.where(F.col(x).isNotNull() & F.col(y).isNotNull()), []
     total = right.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    span = total.agg(F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
-    edge = left.agg(F.max(F.abs(x)), F.max(F.abs(y))).first()
-    reach = 4.0 * sum(abs(v or 0.0) for v in (*span, *edge)) + cell
+    ends = (F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count("*").alias("n"))
+    r, l = total.agg(*ends).first(), open_.agg(*ends).first()
+    if not r["n"] or not l["n"]:
+        rounds, radius, reach = 1, float(cell), float(cell)
+    else:
+        width, height = r["x1"] - r["x0"], r["y1"] - r["y0"]
+        radius = max((2.0 * (k + 1) * width * height / (3.14159 * r["n"])) ** 0.5, 1e-9) or float(cell)
+        # no two rows are farther apart
+        reach = (max(r["x1"], l["x1"]) - min(r["x0"], l["x0"])) + (max(r["y1"], l["y1"]) - min(r["y0"], l["y0"])) + radius
+        if r["n"] <= k + exclude_self:
+            radius = reach  # all are needed
     keep = Window.partitionBy(left_id).orderBy("distance", f"r_{right_id}")
     for n in range(rounds):
         found = radius_join(open_, total, radius, x, y)
@@ -67,15 +76,16 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id:
         if condition is not None:
             found = found.where(condition)
         found = found.withColumn("rank", F.row_number().over(keep)).where(F.col("rank") <= k)
-        last = n == rounds - 1 or radius > reach
-        full = found.groupBy(left_id).agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select(left_id)
-        done.append(found if last else found.join(full, left_id, "left_semi"))
-        if last:
+        if n == rounds - 1 or radius >= reach:
+            done.append(found)
             break
-        open_ = open_.join(full, left_id, "left_anti")
+        found = found.persist()
+        full = found.groupBy(left_id).agg(F.count("*").alias("__n")).where(F.col("__n") >= k).select(left_id)
+        done.append(found.join(full, left_id, "left_semi"))
+        open_ = open_.join(full, left_id, "left_anti").persist()
         if open_.isEmpty():
             break
-        radius *= 2
+        radius *= 3
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
