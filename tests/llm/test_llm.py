@@ -297,6 +297,43 @@ def test_near_lines_are_found(spark):
     assert sum(not got[1000 + k] for k in range(pairs)) >= 0.75 * pairs
 
 
+def test_near_lines_match_brute_force(spark):
+    """Each pair at the threshold or above is found, near and far from it, with short and long lines."""
+    from brindle.llm.line_dedup import line_groups
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    rare = lambda: f"w{rng.randrange(10**6)}"
+    word = lambda: rng.choice("the of and to in".split()) if rng.random() < 0.3 else rare()
+    lines, planted = [], 0
+    for n in (3, 4, 5, 6, 9, 10, 14, 20, 24, 25, 40):
+        for edits in range(n // 5 + 2):
+            for kind in ("change", "drop", "add", "mixed"):
+                w = [word() for _ in range(n)]
+                v = list(w)
+                for at in sorted(rng.sample(range(n), edits), reverse=True):
+                    how = rng.choice(("change", "drop", "add")) if kind == "mixed" else kind
+                    v[at : at + (how != "add")] = [] if how == "drop" else [rare()]
+                lines += [(len(lines), " ".join(w)), (len(lines) + 1, " ".join(v))]
+    for similarity in (0.8, 0.6):
+        groups = line_groups(spark.createDataFrame(lines, "doc_id long, text string"), similarity)
+        label = {r.first_doc: r.label for r in groups.collect()}
+        for k in range(0, len(lines), 2):
+            a, b = lines[k][1].split(), lines[k + 1][1].split()
+            near = distance(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9
+            planted += near
+            assert (k in label) == near, (similarity, a, b)
+            assert k + 1 not in label
+    assert planted > 150
+
+
 # --- byte-level BPE ---
 
 
