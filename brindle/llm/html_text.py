@@ -5,8 +5,10 @@ path of tags. For each path, text length and punctuation are summed over the pag
 its number of blocks (a path that carries articles has long, punctuated blocks; menus have short
 ones). The two ratios, taken block by block, are smoothed along the page with a Gaussian and fused
 by their geometric mean; a path's score is the mean over its blocks, and paths above a threshold
-that follows the page's own spread are content paths. The smallest element that holds most of their
-text is the article, and all its blocks belong to it, so short paragraphs, lists and headings stay.
+that follows the page's own spread are content paths. The smallest element that holds all of them,
+or the <article> or <main> around it, is the article, and all its blocks belong to it, so titles,
+leads, short paragraphs, lists and further sections stay. If only the body holds them all, the
+article is each of the body's elements with a content block and what stands between them.
 Blocks inside elements that never hold the article (menus, footers, forms, adverts, comments ...)
 are out whatever their ratio.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -182,29 +185,30 @@ def main_text(page: str) -> str:
         s[1] += 1
     of_path = np.array([sums[b.path][0] / sums[b.path][1] for b in found])
     content = own & (of_path >= min(scores.std(), 0.5 * of_path[own].max()))
-    mass: dict[int, int] = {}
-    for b, on in zip(found, content):
-        for e in b.chain if on else ():
-            mass[e] = mass.get(e, 0) + len(b.text)
-    total = sum(len(b.text) for b, on in zip(found, content) if on)
-    # elements are numbered in page order, so of those nested in each other the innermost is the last
-    most = max((e for e, m in mass.items() if 10 * m >= 8 * total), default=None)
-    if most is None:  # the article's blocks stand right in the body
-        headings = {"h1", "h2", "h3", "h4", "h5", "h6"}
-        for k, b in enumerate(found[:-1]):
-            if own[k] and content[k + 1] and b.path.rsplit("/", 1)[-1] in headings:
-                content[k] = True
-        return " ".join(b.text for b, on in zip(found, content) if on)
-    article = _around(found, most)
-    return " ".join(b.text for b in found if not b.outside and article in b.chain)
-
-
-def _around(found: list[Block], element: int) -> int:
-    """The element, or the one around it if it is but the block itself: a paragraph is no article."""
-    chain = next(b.chain for b in found if element in b.chain)
-    k = chain.index(element)
-    leaf = all(b.chain[-1] == element for b in found if element in b.chain)
-    return chain[k - 1] if leaf and k else element
+    article = _article(found, content)
+    if article is not None:
+        return " ".join(b.text for b in found if not b.outside and article in b.chain)
+    # the article's blocks stand right in the body
+    at = np.flatnonzero(content)
+    headings = {"h1", "h2", "h3", "h4", "h5", "h6"}
+    tops = {b.chain[0] for b, on in zip(found, content) if on and b.chain}
+    keep = [at[0] <= k <= at[-1] or b.chain[:1] and b.chain[0] in tops for k, b in enumerate(found)]
+    for k in range(len(found) - 2, -1, -1):
+        keep[k] = keep[k] or (keep[k + 1] and found[k].path.rsplit("/", 1)[-1] in headings)
+    return " ".join(b.text for b, on in zip(found, keep) if on and not b.outside)
+
+
+def _article(found: list[Block], content: np.ndarray) -> int | None:
+    """The article's element, None for the body."""
+    chains = [b.chain for b, on in zip(found, content) if on]
+    shared = commonprefix(chains)
+    if shared and all(b.chain[-1] == shared[-1] for b in found if shared[-1] in b.chain):
+        shared = shared[:-1]  # it is but the block itself: a paragraph is no article
+    if not shared:
+        return None
+    path = next(b.path for b, on in zip(found, content) if on)
+    names = [x for x in path.split("/") if x not in ROOTS]
+    return next((e for e, name in zip(shared[::-1], names[len(shared) - 1 :: -1]) if name in INSIDE), shared[-1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -94,6 +94,22 @@ def test_html_main_text(spark):
     assert {r.text for r in got} == {expected, "", "deep, deep text."}
 
 
+def test_html_keeps_the_whole_article():
+    """Titles and leads outside the body's element, several sections, short sections right in the body."""
+    from brindle.llm.html_text import main_text
+
+    says = lambda k: f"Sentence number {k}, with words; and more of them, until it is long enough, and then an end."
+    long, short = [says(k) for k in range(17)], [says(k) for k in range(17, 20)]
+    of = lambda tag, texts: f"<{tag}>" + "".join(f"<p>{x}</p>" for x in texts) + f"</{tag}>"
+    menu, foot = "<nav><ul><li>Home</li></ul></nav>", "<footer>Imprint</footer>"
+    nested = f"<html><body>{menu}<article><h1>Title</h1><p>Lead.</p>{of('div', long)}</article>{foot}</body></html>"
+    assert main_text(nested) == " ".join(["Title", "Lead.", *long])
+    sections = f"<article><h1>Title</h1>{of('section', long)}<section><h2>Two</h2>{of('div', short)}</section></article>"
+    assert main_text(f"<html><body>{menu}{sections}{foot}</body></html>") == " ".join(["Title", *long, "Two", *short])
+    assert main_text(f"<html><body>{menu}<div>{of('div', long)}{of('section', short)}</div>{foot}</body></html>") == " ".join(long + short)
+    assert main_text(f"<html><body>{menu}<h1>Title</h1>{of('div', long)}<ul><li>Point</li></ul>{of('section', short)}{foot}</body></html>") == " ".join(["Title", *long, "Point", *short])
+
+
 # --- nearest neighbours ---
 
 
