@@ -117,13 +117,27 @@ def market_percentile(quantiles: str | Column, levels: Sequence[float], value: s
 
 
 def holm(df: DataFrame, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds p_holm: step-down adjusted p-values, at most 1; null p-values don't count."""
-    w = Window.partitionBy(*keys, F.col(p).isNull()).orderBy(p)
-    m = F.count("*").over(Window.partitionBy(*keys, F.col(p).isNull()))
-    step = (m - F.row_number().over(w) + 1) * F.col(p)
-    out = df.withColumn("__s", step)
-    raised = F.max("__s").over(Window.partitionBy(*keys, F.col(p).isNull()).orderBy(p).rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("p_holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), raised))).drop("__s")
+    """Adds p_holm: step-down adjusted p-values, at most 1; null p-values don't count.
+
+    Equal values have one result, so values are counted first. Runs of the order are cut by the
+    values' size, so a window holds one run, and only a count and a maximum a run are brought together.
+    """
+    v, inf = F.col("__v"), F.lit(2.0**40)
+    rows = df.withColumns({"__k": F.struct(*keys) if keys else F.lit(0), "__v": F.col(p).cast("double")})
+    cut = lambda x: F.when(F.isnan(v), inf).otherwise(F.coalesce(F.floor(F.least(F.greatest(x, -inf), inf)).cast("double"), -inf))
+    counts = rows.where(v.isNotNull()).groupBy("__k", "__v").agg(F.count("*").alias("__c")).withColumns({"__a": cut(16 * F.log2(v)), "__b": cut(1024 * v)})
+    run = ["__k", "__a", "__b"]
+    before = Window.partitionBy("__k").orderBy("__a", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*run).orderBy("__v")
+    left = counts.groupBy(*run).agg(F.sum("__c").alias("__n"))
+    left = left.select(*run, (F.sum("__n").over(Window.partitionBy("__k")) - F.coalesce(F.sum("__n").over(before), F.lit(0))).alias("__left"))
+    own = F.coalesce(F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = counts.join(left, run).select(*run, "__v", ((F.col("__left") - own) * v).alias("__s"))
+    highest = steps.groupBy(*run).agg(F.max("__s").alias("__top"))
+    highest = highest.select(*run, F.max("__top").over(before).alias("__top"))
+    raised = F.greatest("__top", F.max("__s").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    adjusted = steps.join(highest, run).select("__k", "__v", F.least(F.lit(1.0), raised).alias("p_holm"))
+    return rows.join(adjusted, ["__k", "__v"], "left").drop("__k", "__v")
 
 
 def ablation_table(runs: DataFrame, stages: Sequence[str], metric: str, pick: str = "last", lower_is_better: bool = True) -> DataFrame:

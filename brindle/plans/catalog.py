@@ -204,6 +204,11 @@ def temporal_split(t, spark):
     return splits.temporal_split(t("orders").where("o_custkey % 7 <> 0"), "o_orderdate", "1999-06-30", "o_custkey").select("o_orderkey", "period")
 
 
+@query()
+def temporal_split_whole(t, spark):
+    return splits.temporal_split(t("orders"), "o_orderdate", "1999-06-30", "o_custkey").select("o_orderkey", "period")
+
+
 @query("""with s as (select s_suppkey as id, s_nationkey as b, s_acctbal as v from supplier) select a.id as left_id, c.id as right_id from s a join s c on a.b = c.b and a.id < c.id and abs(a.v - c.v) <= 300 + 1e-9""")
 def band_self_join(t, spark):
     return spatial.band_pairs(t("supplier"), "s_suppkey", "s_nationkey", "s_acctbal", 300.0)
@@ -279,6 +284,13 @@ def noise_levels(t, spark):
     return spatial.noise_levels(points(t), raster, "id", (0.0, 10.0, 20.0, 50.0), cell=10.0, north_edge=1000.0)
 
 
+@query()
+def noise_levels_whole(t, spark):
+    k = F.col("p_partkey")
+    raster = t("part").groupBy((k % 100).alias("col"), (k * 7 % 100).alias("row")).agg(F.max("p_retailprice").alias("value"))
+    return spatial.noise_levels(points(t), raster, "id", (0.0, 10.0, 20.0, 50.0), cell=10.0, north_edge=1000.0)
+
+
 @query(f"select n_regionkey as terminal_id, {R('avg(s_acctbal)', 4)} as mean from supplier join nation on s_nationkey = n_nationkey group by n_regionkey")
 def remap_mean(t, spark):
     values = t("supplier").select(F.col("s_nationkey").alias("initial_id"), F.col("s_acctbal").alias("mean"))
@@ -424,6 +436,14 @@ def target_encode_full(t, spark):
     return robust.target_encode(rows, rows.select("k0", "k1", "k2").distinct(), ["k0", "k1", "k2"], "y").select(F.col("k2").alias("k"), r("te_k2").alias("te"))
 
 
+@query()
+def target_encode_whole(t, spark):
+    rows = listings(t).withColumn("y", F.ln("price"))
+    k0, k1, k2 = S.nested_keys("canton", "district_id", "municipality_id")
+    rows = rows.withColumns({"k0": k0, "k1": k1, "k2": k2})
+    return robust.target_encode(rows, rows.select("k0", "k1", "k2").distinct(), ["k0", "k1", "k2"], "y").select(F.col("k2").alias("k"), r("te_k2").alias("te"))
+
+
 @query("""with {LISTINGS}, y as (select *, ln(price) as y, object_id % 5 as f from listings), t as (select sum(y) as s, count(*) as n from y), tf as (select f, sum(y) as s, count(*) as n from y group by f), m as (select f, (t.s - tf.s) / (t.n - tf.n) as m from tf, t),
     a as (select canton, sum(y) as s, count(*) as n from y group by canton), b as (select canton, f, sum(y) as s, count(*) as n from y group by canton, f)
     select y.canton, y.f as fold, round((a.s - b.s + 20 * m) / (a.n - b.n + 20) + 1e-9, 6) as te, count(*) as rows from y join m using (f) join a on y.canton = a.canton join b on y.canton = b.canton and y.f = b.f group by 1, 2, 3""")
@@ -716,6 +736,13 @@ def holm(t, spark):
     return metrics.holm(rows, "p").select("p_partkey", F.round(F.col("p_holm") + 1e-12, 9).alias("p_holm"))
 
 
+@query()
+def holm_whole(t, spark):
+    k = F.col("p_partkey")
+    rows = t("part").select("p_partkey", F.when(k % 10 > 0, (k * 7919 % 1000 + 1) / 100000.0).alias("p"))
+    return metrics.holm(rows, "p").select("p_partkey", "p", "p_holm")
+
+
 @query()
 def cluster_bootstrap(t, spark):
     from brindle.operators import inference

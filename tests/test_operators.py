@@ -232,3 +232,16 @@ def test_the_rest_imports_without_the_training_data_subpackage():
 
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'unit_stats_3_levels' in e.queries() and not any(k.startswith('op1') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_holm_by_group(spark):
+    """Groups with a null key, ties, zeros and null p-values, against the step-down loop."""
+    rows = [(g, n, None if n % 9 == 0 else (n * 37 % 50) / 400) for g in ("a", None) for n in range(80 if g else 30)]
+    got = {(r.g, r.n): r.p_holm for r in metrics.holm(spark.createDataFrame(rows, "g string, n int, p double"), "p", ["g"]).collect()}
+    assert len(got) == len(rows)
+    for g in ("a", None):
+        own, top = sorted((p, n) for h, n, p in rows if h == g and p is not None), 0.0
+        for k, (p, n) in enumerate(own):
+            top = max(top, min(1.0, (len(own) - k) * p))
+            assert got[g, n] == pytest.approx(top)
+    assert all(got[g, n] is None for g, n, p in rows if p is None)
