@@ -112,6 +112,8 @@ def blocks(page: str) -> list[Block]:
             elif name not in INLINE:
                 flush()
             continue
+        if name in ("svg", "math") and m[3].rstrip().endswith("/"):
+            continue  # foreign elements end with such a tag; of others the slash means nothing
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = stop.end() if stop else end

@@ -110,6 +110,15 @@ def test_html_keeps_the_whole_article():
     assert main_text(f"<html><body>{menu}<h1>Title</h1>{of('div', long)}<ul><li>Point</li></ul>{of('section', short)}{foot}</body></html>") == " ".join(["Title", *long, "Point", *short])
 
 
+def test_html_self_closing_foreign_elements():
+    from brindle.llm.html_text import main_text
+
+    body = "<p>Before it, some words; and more.</p><p>Icon <svg class=icon/> and <math /> stay, with words.</p><p>Between them, words.</p><p>An <svg><text>no</text></svg> end, at last.</p>"
+    expected = "Before it, some words; and more. Icon and stay, with words. Between them, words. An end, at last."
+    assert main_text(f"<article>{body}</article>") == expected
+    assert main_text("<article><p>First, words.</p><svg/><p>Last, words.</p></article>") == "First, words. Last, words."
+
+
 # --- nearest neighbours ---
 
 
