@@ -7,9 +7,12 @@ are single bytes that occur in no other character, so words can be found on byte
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +57,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_root(spark)}/brindle-{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}  # catalog names of bucketed tables
         atexit.register(_remove, spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        df.write.option("compression", compression).parquet(self.path(name))
         # the JVM's next collection lets Spark's cleaner delete the finished step's shuffle files
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
@@ -69,12 +73,15 @@ class Scratch:
         """`table`, bucketed by a key: joins and aggregates on the key then move none of its rows."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"brindle_{name}_{uuid.uuid4().hex}"
-        df.write.bucketBy(n, key).option("path", self.path(name)).saveAsTable(table)
+        df.write.bucketBy(n, key).options(path=self.path(name), compression="zstd").saveAsTable(table)
+        self.tables[name] = table
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.table(table)
 
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"drop table if exists {self.tables.pop(name)}")
             _remove(self.spark, self.path(name))
 
 
@@ -107,7 +114,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def tidy() -> None:
+    """Gives memory that a task held back to the system: workers live on, beside those of the next stages."""
+    if len(_powers[0]) > 1 << 21:
+        _powers[:] = [x[: 1 << 20].copy() for x in _powers]
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number, and those of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         size = max(n, 2 * len(_powers[0]))
         inverse = pow(_BASE, -1, 2**64)
@@ -148,7 +165,7 @@ class Words:
         for k, j in zip(cut, cut[1:]):
             lo, hi = self.offsets[k], self.offsets[j]
             a, b = self.first[k], self.first[j]
-            up, down = _power_tables(int(hi - lo) + 1)
+            up, down = power_tables(int(hi - lo) + 1)
             sums = np.empty(hi - lo + 1, U64)
             sums[0] = 0
             part = _LETTERS[codes[lo:hi]]
