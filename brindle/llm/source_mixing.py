@@ -7,8 +7,9 @@ Schedule. Slot i has the point frac((i + 1/2) * golden ratio). The sources' shar
 interval, and the source on whose piece the point falls has the slot; after any number of slots
 each source's count is within a few of its share. A source's slots are ranked in order. Its
 documents, shuffled by a seeded hash, form one stream of words (repeated up to `most` times), cut
-into as many equal blocks as it has slots; slot of rank r takes block r. A source whose piece no
-point hits gets one slot more, after all others, so its words come too.
+into blocks of the same number of words for all sources; the slot of rank r takes block r. So the
+points decide how many words a source brings: its slots' blocks, the last trimmed where its stream
+ends. A source whose piece no point hits gets one slot more, after all others, trimmed to its target.
 
 Every step is a join, aggregate or prefix sum over ranges; a source may hold any share of the rows.
 The table of sources is joined, never collected.
@@ -23,7 +24,8 @@ from pyspark.sql.window import Window
 from brindle.llm.common import WORD, Scratch, n_words
 
 GOLDEN = 0.6180339887498949
-BLOCK = 8192  # words of a slot, about
+BLOCK = 8192  # words of a slot
+SLOTS = 1 << 17  # slots at least, with smaller blocks if need be: a source's count is off its share by a few of them
 
 
 def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, scratch: Scratch, name: str) -> DataFrame:
@@ -107,7 +109,7 @@ def mix(
     documents: row, id, source, shuffle, size, source_size, target, for each row of docs; row tells rows
     apart. slices: row, slot, epoch, start, words: the mix takes `words` words from word `start` of
     the document in that slot; in order of slot, epoch and position they are the mix. The slices of
-    a source add up to its target, rounded; those of a document to `most` times its size at most.
+    a source add up to its slots' blocks; those of a document to `most` times its size at most.
 
     A null text has size 0; rows with a null source form a source, the last in order. Repeated ids
     are separate documents. Sources without words have target 0. An empty table gives empty ones.
@@ -129,18 +131,18 @@ def mix(
     begin = placed.groupBy("source_rank").agg(F.min("position").alias("begin"))
     streams = placed.join(hint(begin), "source_rank").withColumn("from", F.col("position") - F.col("begin"))
     words = goals.agg(F.sum("target")).first()[0] or 0
-    plan = schedule(goals, max(1, int(words // BLOCK)), scratch, spark)
-    plan = scratch.table(plan, "plan")
-    counts = plan.groupBy("source_rank").agg(F.max("n_slots").alias("n_slots"))
-    # block r of a source is the words [r * take / n, (r + 1) * take / n) of its repeated stream
-    streams = streams.where("size > 0").join(hint(counts), "source_rank").withColumn("take", F.round("target").cast("long"))
+    block = max(1, min(BLOCK, int(words // SLOTS)))
+    slots = max(1, round(words / block))
+    plan = scratch.table(schedule(goals, slots, scratch, spark), "plan")
+    counts = plan.groupBy("source_rank").agg(F.max("n_slots").alias("n_slots"), F.min("slot").alias("first_slot"))
+    # block r of a source is the words [r * block, (r + 1) * block) of its repeated stream
+    missed = F.when(F.col("first_slot") >= slots, F.greatest(F.round("target"), F.lit(1))).otherwise(F.lit(float(block)) * F.col("n_slots"))
+    whole = F.least(F.lit(block) * F.col("n_slots"), missed.cast("long"), F.lit(int(most)) * F.col("source_size"))
+    streams = streams.where("size > 0").join(hint(counts), "source_rank").withColumn("take", whole)
     streams = streams.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(most) - 1)))).withColumn("a", F.col("from") + F.col("epoch") * F.col("source_size"))
     streams = streams.withColumn("b", F.least(F.col("a") + F.col("size"), F.col("take"))).where("a < b")
-    # all integers: r * take stays below 2**63 for 10**12 words and 10**6 slots a source
-    block = lambda x: F.expr(f"(({x}) * n_slots) div take")
-    streams = streams.withColumn("rank", F.explode(F.sequence(block("a"), F.least(block("b - 1") + 1, F.col("n_slots") - 1))))
-    bound = lambda r: F.expr(f"(({r}) * take + n_slots - 1) div n_slots")
-    streams = streams.withColumn("lo", F.greatest(F.col("a"), bound("rank"))).withColumn("hi", F.least(F.col("b"), bound("rank + 1"))).where("lo < hi")
+    streams = streams.withColumn("rank", F.explode(F.sequence(F.expr(f"a div {block}"), F.expr(f"(b - 1) div {block}"))))
+    streams = streams.withColumn("lo", F.greatest("a", F.expr(f"rank * {block}"))).withColumn("hi", F.least("b", F.expr(f"(rank + 1) * {block}")))
     joined = streams.select("row", "source_rank", "rank", "epoch", "a", "lo", "hi").join(plan.select("source_rank", "rank", "slot"), ["source_rank", "rank"])
     slices = joined.select("row", "slot", "epoch", (F.col("lo") - F.col("a")).alias("start"), (F.col("hi") - F.col("lo")).alias("words"))
     documents = placed.select("row", F.col("id").alias(id_col), "source", "shuffle", "size", "source_size", "target")
@@ -164,11 +166,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     seed = options.get("seed", 42)
     documents, slices = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, scratch=scratch, **options)
     passes = slices.groupBy("row", "epoch").agg(F.min("start").alias("start"), F.sum("words").alias("words"))
-    passes = passes.join(documents.select("row", F.col(id_col).alias("__id"), F.col("shuffle").alias("__key"), "size"), "row")
-    passes = passes.groupBy("__id", "__key", "size").agg(F.collect_list(F.struct("start", "words")).alias("__passes"))
+    passes = passes.join(documents.select("row", F.col(id_col).alias("__id"), F.col("shuffle").alias("__key"), F.col("size").alias("__size")), "row")
+    passes = passes.groupBy("__id", "__key", "__size").agg(F.collect_list(F.struct("start", "words")).alias("__passes"))
     keyed = docs.withColumn("__own", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
     # equal rows are one here; what the mix takes of each is in the list
     rows = keyed.join(passes, (F.col("__own") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id"))).dropDuplicates(["__id", "__key"])
     rows = rows.withColumn("__pass", F.explode("__passes"))
     part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), (F.col("__pass.start") + 1).cast("int"), F.col("__pass.words").cast("int")), " ")
-    return rows.withColumn(text_col, F.when(F.col("__pass.words") == F.col("size"), F.col(text_col)).otherwise(part)).select(*docs.columns)
+    return rows.withColumn(text_col, F.when(F.col("__pass.words") == F.col("__size"), F.col(text_col)).otherwise(part)).select(*docs.columns)
