@@ -18,18 +18,16 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from os.path import commonprefix
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_STOP = re.compile(r"[<>\"']")
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 # fixed values: element names by role
@@ -48,109 +46,194 @@ NOT_ARTICLE = frozenset(
     "share sharing social related recommended recommendations outbrain taboola pagination pager tags toolbar copyright legal disclaimer "
     "contentinfo complementary search skip".split()
 )
+# of these, words that an article's own parts may bear too: inside an article their paths' scores decide
+WEAK = frozenset("side rail notice notices alert legal disclaimer copyright share related search skip social tags complementary".split())
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？¿¡]")
 _SPACES = re.compile(r"[\s ]+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> int:
+    """2 if a name says that an element isn't the article, 1 if it may, else 0."""
+    if "hidden" in attributes.split() or 'aria-hidden="true"' in attributes:
+        return 2
+    found = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role", "aria-label") and name.lower() != "aria-label":
-            if any(w.lower() in NOT_ARTICLE for w in _SPLIT.split(a or b or c)):
-                return True
-    return "hidden" in attributes.split() or 'aria-hidden="true"' in attributes
+        if name.lower() in ("class", "id", "role"):
+            words = {w.lower() for w in _SPLIT.split(a or b or c)} & NOT_ARTICLE
+            if words:
+                found = max(found, 1 if words <= WEAK else 2)
+    return found
 
 
 class Block:
-    """Text between block-level tags; `chain` holds the numbers of the elements around it, outermost first."""
+    """Text between block-level tags: the number of its path and of the innermost element, and what that is marked."""
+
+    __slots__ = ("text", "path", "element", "name", "outside")
+
+    def __init__(self, text: str, path: int, element: int, name: str, outside: int):
+        self.text, self.path, self.element, self.name, self.outside = text, path, element, name, outside
 
-    __slots__ = ("text", "path", "chain", "outside")
 
-    def __init__(self, text: str, path: str, chain: tuple[int, ...], outside: bool):
-        self.text, self.path, self.chain, self.outside = text, path, chain, outside
+class Page:
+    """Blocks in page order, and the block-level elements but html and body; element 0 is the body.
 
+    Tags that aren't closed or opened in order are repaired as browsers do. Each character is read a
+    bounded number of times, whatever the nesting: paths are numbered, an element knows its parent,
+    and the places of open elements are kept by name.
+    """
 
-def blocks(page: str) -> list[Block]:
-    """Blocks of text in page order; tags that aren't closed or opened in order are repaired as browsers do."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name; inside an article, outside: this element or one around it; number
-    number = 0
-    held: list[str] = []
-    at, end = 0, len(page)
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.parent, self.top, self.names = [0], [0], ["body"]
+        self.first, self.end = [0], [0]  # an element's blocks
+        self.paths: dict[tuple[int, str], int] = {}
+        #: of each open element: name; inside an article, mark of it or one around it; number, path
+        self.stack: list[tuple[str, bool, int, int, int]] = []
+        self.open: dict[str, list[int]] = {}
+        self.solid: list[int] = []  # places in the stack that aren't inline
+        self.held: list[str] = []
+        self._scan(page)
+        self.flush()
+        self._close(0)
+        self.end[0] = len(self.blocks)
 
-    def flush() -> None:
-        if held:
-            text = _SPACES.sub(" ", html.unescape("".join(held))).strip()
-            held.clear()
+    def flush(self) -> None:
+        if self.held:
+            text = _SPACES.sub(" ", html.unescape("".join(self.held))).strip()
+            self.held.clear()
             if text:
-                path = "/".join(x[0] for x in stack if x[0] not in INLINE)
-                chain = tuple(x[3] for x in stack if x[0] not in INLINE and x[0] not in ROOTS)
-                out.append(Block(text, path, chain, bool(stack) and stack[-1][2]))
-
-    def close(upto: int) -> None:
-        if any(x[0] not in INLINE for x in stack[upto:]) or any(x[2] for x in stack[upto:]) != (upto > 0 and stack[upto - 1][2]):
-            flush()
-        del stack[upto:]
-
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            held.append(page[at:])
-            break
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if found is not None:
-                # an inline end tag doesn't close the block it stands in
-                if name not in INLINE or all(x[0] in INLINE for x in stack[found:]):
-                    close(found)
-            elif name not in INLINE:
-                flush()
-            continue
-        if name in ("svg", "math") and m[3].rstrip().endswith("/"):
-            continue  # foreign elements end with such a tag; of others the slash means nothing
+                _, _, mark, element, path = self.stack[-1] if self.stack else ("", False, 0, 0, 0)
+                name = self.stack[self.solid[-1]][0] if self.solid else ""
+                self.blocks.append(Block(text, path, element, name, mark))
+
+    def _close(self, upto: int) -> None:
+        """Closes the elements from a place in the stack on."""
+        stack = self.stack
+        if upto < len(stack) and ((self.solid and self.solid[-1] >= upto) or stack[-1][2] != (stack[upto - 1][2] if upto else 0)):
+            self.flush()
+        while len(stack) > upto:
+            name, _, _, element, _ = stack.pop()
+            self.open[name].pop()
+            if self.solid and self.solid[-1] == len(stack):
+                self.solid.pop()
+                self.end[element] = len(self.blocks)
+
+    def _last(self, *names: str) -> int:
+        """The place of the innermost open element of these names, -1 for none."""
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=-1)
+
+    def _push(self, name: str, inside: bool, mark: int) -> None:
+        _, _, _, element, path = self.stack[-1] if self.stack else ("", False, 0, 0, 0)
+        self.open.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.solid.append(len(self.stack))
+            path = self.paths.setdefault((path, name), len(self.paths) + 1)
+            if name not in ROOTS:
+                self.parent.append(element)
+                element = len(self.parent) - 1
+                self.top.append(self.top[self.parent[element]] or element)
+                self.names.append(name)
+                self.first.append(len(self.blocks))
+                self.end.append(len(self.blocks))
+        self.stack.append((name, inside, mark, element, path))
+
+    def _tag(self, page: str, at: int) -> int:
+        """The place of the > that ends the tag whose attributes begin at `at`; -1 if none does before the next <."""
+        while m := _STOP.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            if m[0] == "<":
+                return -1
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                return -1
+        return -1
+
+    def _scan(self, page: str) -> None:
+        at, end = 0, len(page)
+        while at < end:
+            start = page.find("<", at)
+            if start < 0:
+                self.held.append(page[at:])
+                return
+            if start > at:
+                self.held.append(page[at:start])
+            if m := _OTHER.match(page, start):
+                at = m.end()
+                continue
+            m = _NAME.match(page, start)
+            stop = self._tag(page, m.end()) if m else -1
+            if stop < 0:
+                self.held.append("<")
+                at = start + 1
+                continue
+            at = stop + 1
+            name, attributes = m[2].lower(), page[m.end() : stop]
+            if m[1]:
+                self._end_tag(name)
+            else:
+                at = self._start_tag(name, attributes, page, at)
+
+    def _end_tag(self, name: str) -> None:
+        found = self._last(name)
+        if found >= 0:
+            # an inline end tag doesn't close the block it stands in
+            if name not in INLINE or not self.solid or self.solid[-1] < found:
+                self._close(found)
+        elif name not in INLINE:
+            self.flush()
+
+    def _start_tag(self, name: str, attributes: str, page: str, at: int) -> int:
+        """Opens the element; where to read on."""
+        if name in ("svg", "math") and attributes.rstrip().endswith("/"):
+            return at  # foreign elements end with such a tag; of others the slash means nothing
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            stop = _raw_end(name).search(page, at)
             if name not in ("svg", "math", "canvas", "object"):
-                flush()
-            continue
-        if name == "br" or name == "hr":
-            if name == "hr":
-                flush()
-            else:
-                held.append(" ")
-            continue
+                self.flush()
+            return stop.end() if stop else len(page)
+        if name == "br":
+            self.held.append(" ")
+            return at
         if name in VOID:
-            continue
+            if name == "hr":
+                self.flush()
+            return at
         if name not in INLINE:
-            flush()
+            self.flush()
             if name in CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                if k is not None and not any(x[0] in ("td", "th", "button", "object", "caption", "table") for x in stack[k:]):
-                    close(k)
+                k = self._last("p")
+                if k >= 0 and self._last("td", "th", "button", "object", "caption", "table") < k:
+                    self._close(k)
             if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in same:
-                        close(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead"):
-                        break
-        inside, outside = stack[-1][1:3] if stack else (False, False)
-        marked = name in OUTSIDE or (name == "header" and not inside) or (m[3] and name not in ("body", "html", "article", "main") and _marked(m[3]))
-        if marked and not outside and name in INLINE:
-            flush()
-        if not m[3].rstrip().endswith("/") or name not in ("path", "use"):
-            number += 1
-            stack.append((name, inside or name in INSIDE, outside or bool(marked), number))
-    flush()
-    return out
+                k = self._last(*{"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,)))
+                if k > self._last("ul", "ol", "dl", "table", "tbody", "thead"):
+                    self._close(k)
+        inside, outside = self.stack[-1][1:3] if self.stack else (False, 0)
+        mark = 2 if name in OUTSIDE or (name == "header" and not inside) else 0
+        if not mark and attributes and name not in ("body", "html", "article", "main"):
+            mark = _marked(attributes)
+            if mark == 1 and not inside:
+                mark = 2
+        if mark > outside and name in INLINE:
+            self.flush()
+        if not attributes.rstrip().endswith("/") or name not in ("path", "use"):
+            self._push(name, inside or name in INSIDE, max(outside, mark))
+        return at
+
+    def around(self, blocks: np.ndarray) -> int:
+        """The innermost element that holds all these blocks, 0 for the body."""
+        lo, hi = int(blocks[0]), int(blocks[-1])
+        element = self.blocks[lo].element
+        while element and self.end[element] <= hi:
+            element = self.parent[element]
+        return element
+
+
+@lru_cache(64)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
 
 
 def _smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -160,57 +243,50 @@ def _smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return padded / np.convolve(np.ones(len(x)), kernel)[reach : reach + len(x)]
 
 
-def path_scores(found: list[Block]) -> np.ndarray:
-    """Each block's fused tag-path ratio: text and punctuation a block on its path, smoothed."""
-    sums: dict[str, list[int]] = {}
-    for b in found:
-        s = sums.setdefault(b.path, [0, 0, 0])
-        s[0] += 1
-        s[1] += len(b.text)
-        s[2] += len(_PUNCTUATION.findall(b.text))
-    text = np.array([sums[b.path][1] / sums[b.path][0] for b in found])
-    marks = np.array([sums[b.path][2] / sums[b.path][0] for b in found])
-    return np.sqrt(_smooth(text) * (_smooth(marks) + 0.1))
+def path_scores(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Each block's fused tag-path ratio: text and punctuation a block on its path, smoothed; then the mean of its path."""
+    _, path = np.unique([b.path for b in found], return_inverse=True)
+    blocks = np.bincount(path)
+    text = np.bincount(path, [len(b.text) for b in found]) / blocks
+    marks = np.bincount(path, [len(_PUNCTUATION.findall(b.text)) for b in found]) / blocks
+    fused = np.sqrt(_smooth(text[path]) * (_smooth(marks[path]) + 0.1))
+    return fused, (np.bincount(path, fused) / blocks)[path]
 
 
 def main_text(page: str) -> str:
     """The article's blocks, joined by one space."""
-    found = blocks(page)
-    own = np.array([not b.outside for b in found], bool)
-    if not own.any():
+    p = Page(page)
+    found = p.blocks
+    mark = np.array([b.outside for b in found], np.int8)
+    if not (mark == 0).any():
         return ""
-    scores = path_scores(found)
-    sums: dict[str, list[float]] = {}
-    for b, x in zip(found, scores):
-        s = sums.setdefault(b.path, [0.0, 0])
-        s[0] += x
-        s[1] += 1
-    of_path = np.array([sums[b.path][0] / sums[b.path][1] for b in found])
-    content = own & (of_path >= min(scores.std(), 0.5 * of_path[own].max()))
-    article = _article(found, content)
-    if article is not None:
-        return " ".join(b.text for b in found if not b.outside and article in b.chain)
+    scores, of_path = path_scores(found)
+    threshold = min(scores.std(), 0.5 * of_path[mark == 0].max())
+    own = (mark == 0) | ((mark == 1) & (of_path >= threshold))  # a weak mark yields to the path's score
+    content = np.flatnonzero(own & (of_path >= threshold))
+    article = _article(p, content)
+    if article:
+        return " ".join(found[k].text for k in range(p.first[article], p.end[article]) if own[k])
     # the article's blocks stand right in the body
-    at = np.flatnonzero(content)
     headings = {"h1", "h2", "h3", "h4", "h5", "h6"}
-    tops = {b.chain[0] for b, on in zip(found, content) if on and b.chain}
-    keep = [at[0] <= k <= at[-1] or b.chain[:1] and b.chain[0] in tops for k, b in enumerate(found)]
+    tops = {p.top[found[k].element] for k in content} - {0}
+    keep = [content[0] <= k <= content[-1] or p.top[b.element] in tops for k, b in enumerate(found)]
     for k in range(len(found) - 2, -1, -1):
-        keep[k] = keep[k] or (keep[k + 1] and found[k].path.rsplit("/", 1)[-1] in headings)
-    return " ".join(b.text for b, on in zip(found, keep) if on and not b.outside)
-
-
-def _article(found: list[Block], content: np.ndarray) -> int | None:
-    """The article's element, None for the body."""
-    chains = [b.chain for b, on in zip(found, content) if on]
-    shared = commonprefix(chains)
-    if shared and all(b.chain[-1] == shared[-1] for b in found if shared[-1] in b.chain):
-        shared = shared[:-1]  # it is but the block itself: a paragraph is no article
-    if not shared:
-        return None
-    path = next(b.path for b, on in zip(found, content) if on)
-    names = [x for x in path.split("/") if x not in ROOTS]
-    return next((e for e, name in zip(shared[::-1], names[len(shared) - 1 :: -1]) if name in INSIDE), shared[-1])
+        keep[k] = keep[k] or (keep[k + 1] and found[k].name in headings)
+    return " ".join(b.text for k, b in enumerate(found) if keep[k] and own[k])
+
+
+def _article(page: Page, content: np.ndarray) -> int:
+    """The article's element, 0 for the body."""
+    shared = page.around(content)
+    if shared and all(page.blocks[k].element == shared for k in range(page.first[shared], page.end[shared])):
+        shared = page.parent[shared]  # it is but the block itself: a paragraph is no article
+    element = shared
+    while element:
+        if page.names[element] in INSIDE:
+            return element
+        element = page.parent[element]
+    return shared
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
