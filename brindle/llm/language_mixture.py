@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 STEPS = 8
-MOST_SET = 4  # sets of more languages aren't tried: a document of five languages is a word list
 
 
 @functools.cache
@@ -91,14 +90,12 @@ class Models:
         full, _ = em(np.full((len(docs), k), 1 / k, np.float32), STEPS)
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
         best, value = np.zeros_like(full), np.full(len(docs), -np.inf)
-        for m in range(1, min(k, MOST_SET) + 1):
+        for m in range(1, k + 1):
             share = full * (rank < m) + np.float32(1e-9) * (rank < m)
             share, fit = em(share / share.sum(1, keepdims=True), 1 if m == 1 else 4)
             fit = fit - penalty / 2 * m * np.log(size)
             better = fit > value
             best[better], value[better] = share[better], fit[better]
-            if not better.any():
-                break
         out[docs] = best
         return out
 
