@@ -262,8 +262,9 @@ def read_archives(archives: DataFrame, payloads: bool = True, verify: bool = Tru
                     yield batch_of(rows)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
-    # an archive is up to ROLL bytes of work: deal them out one by one
-    return archives.select("archive").repartition(F.col("archive")).mapInArrow(run, schema)
+    # an archive is up to ROLL bytes of work: deal them out one by one, which adaptive execution leaves as it is
+    tasks = min(max(1, archives.count()), 100_000)
+    return archives.select("archive").repartition(tasks).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 1000, payloads: bool = False, scratch: Scratch | None = None) -> DataFrame:
