@@ -139,8 +139,8 @@ def neighbours(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id"
     """
     rows = usable(vectors, id_col, vector_col)
     spark = vectors.sparkSession
-    share = min(1.0, 1.2 * sample_rows / max(1, vectors.count()))
-    drawn = rows.sample(False, share, seed).limit(sample_rows).select("vector").toPandas()["vector"]
+    share = min(1.0, sample_rows / max(1, vectors.count()))
+    drawn = rows.sample(False, share, seed).select("vector").toPandas()["vector"]  # about sample_rows, of all parts of the table
     lengths = drawn.map(len)
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(drawn):
