@@ -6,11 +6,12 @@ starts in a document with a smaller id is removed: each word that such a window
 Method. A window's minimiser is the sub-sequence of SUB words with the lowest hash. Consecutive
 windows mostly share it, so they travel as one packed string of words (a super-k-mer) to the bucket
 of the minimiser's hash. All occurrences of a sequence have the same minimiser, so they meet in one
-bucket, where windows are sorted by hash and equal hashes settled on the words themselves.
+bucket, where windows are sorted by hash. Windows are equal if the 64-bit hashes of all their words are.
 
 Skew. Before strings are sent, a map task settles repeats among the documents it holds: only the
 occurrence in the smallest document is sent, all others are known to be repeats. So however often a
-passage occurs, a bucket gets it once per batch of about 8 MB of text.
+passage occurs, a bucket gets it once per batch of about 8 MB of text. Sub-sequences that would be the
+minimiser of over a hundredth of a sample's windows come last in the order of minimisers.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import U64, Words, byte_batches
+from brindle.llm.common import U64, Words, text_slices, tidy
 
 SUB = 3
 BATCH = 8_000_000
+SAMPLE = 5000  # rows in which common minimisers are sought
+HEAVY = 0.01
 _SPANS = "bucket int, doc_id long, packed binary, spans binary"
 
 
@@ -70,8 +73,13 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _covering(valid: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each window: the position of its minimiser (of the last, if several are equally low)."""
+def _covering(valid: np.ndarray, hashes: np.ndarray, width: int, common: np.ndarray) -> np.ndarray:
+    """For each window: the position of its minimiser (of the last, if several are equally low), a common one only if it must be."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = np.where(common[at] == hashes, hashes | U64(1 << 63), hashes >> U64(1))
+    else:
+        hashes = hashes >> U64(1)
     n = len(valid)
     subs = width - SUB + 1
     best, at = hashes[:n].copy(), np.zeros(n, np.int64)
@@ -82,7 +90,38 @@ def _covering(valid: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
     return at + np.arange(n)
 
 
-def _route(width: int, buckets: int, most: int):
+def _heavy(width: int):
+    """Rows (hash, windows, of): a batch's minimisers that a thousandth of its windows have, and how many those are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in text_slices(batch, "text", BATCH):
+                words = Words([t or b"" for t in texts])
+                sub = words.windows(SUB, seed=7)
+                n = len(words.hashes) - width + 1
+                if n <= 0:
+                    continue
+                found, counts = np.unique(sub[_covering(np.ones(n, bool), sub, width, np.empty(0, U64))], return_counts=True)
+                often = counts * 1000 >= n
+                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often])], names=["hash", "windows"])
+
+    return run
+
+
+def common_minimisers(docs: DataFrame, width: int, text_col: str, sample_rows: int = SAMPLE) -> np.ndarray:
+    """Sorted hashes that would be the minimiser of over HEAVY of a sample's windows: a thousand at most.
+
+    They serve as minimisers only of windows that hold no other, so no bucket gathers a constant
+    share of the corpus. Any choice gives the same result, as all tasks make the same.
+    """
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    found = docs.select(F.col(text_col).alias("text")).sample(share, 5).mapInArrow(_heavy(width), "hash long, windows long")
+    sums = found.groupBy("hash").agg(F.sum("windows").alias("windows")).toPandas()  # a thousand for each batch of BATCH bytes of the sample
+    heavy = sums["hash"][sums["windows"] > HEAVY * max(1, sums["windows"].sum())]
+    return np.sort(heavy.to_numpy(np.int64).view(U64))
+
+
+def _route(width: int, buckets: int, most: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         held: list[tuple[int, bytes]] = []
@@ -105,7 +144,7 @@ def _route(width: int, buckets: int, most: int):
             local = np.stack([starts - words.first[own], ends - words.first[own] + width - 1], 1)
             sub = words.windows(SUB, seed=7)
             sent = valid & ~repeated
-            minimiser = _covering(valid, sub, width)
+            minimiser = _covering(valid, sub, width, common)
             # a super-k-mer: consecutive sent windows of a document with one minimiser
             breaks = np.concatenate([[True], (minimiser[1:] != minimiser[:-1]) | ~sent[:-1]]) & sent
             first = np.flatnonzero(breaks)
@@ -132,15 +171,18 @@ def _route(width: int, buckets: int, most: int):
                 yield pa.RecordBatch.from_arrays([pa.array(b_, pa.int32()), pa.array(d_, pa.int64()), pa.array(p_, pa.binary()), pa.array(s_, pa.binary())], names=["bucket", "doc_id", "packed", "spans"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-                if doc_id is not None and text:
-                    if held and size + len(text) > most:
-                        yield from settle(held)
-                        held, size = [], 0
-                    held.append((doc_id, text))
-                    size += len(text)
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch, batch.schema.names[1]):
+                for doc_id, text in zip(ids[a:b], texts):
+                    if doc_id is not None and text:
+                        if held and size + len(text) > most:
+                            yield from settle(held)
+                            held, size = [], 0
+                        held.append((doc_id, text))
+                        size += len(text)
         if held:
             yield from settle(held)
+        tidy()
 
     return run
 
@@ -203,16 +245,15 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     spark.sql.shuffle.partitions, which is set by the size of the input, so a bucket stays small.
     """
     buckets = buckets or 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_route(width, buckets, batch), _SPANS)
+    sent = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_route(width, buckets, batch, common_minimisers(docs, width, text_col)), _SPANS)
     return sent.groupBy("bucket").applyInPandas(_settle_bucket(width), "doc_id long, spans binary")
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
         ids, spans = batch.column("doc_id"), batch.column("spans").to_pylist()
-        for a, b in byte_batches(texts):
-            words = Words([t or b"" for t in texts[a:b]], hashes=False)
+        for a, b, texts in text_slices(batch, "text", 4_000_000):
+            words = Words([t or b"" for t in texts], hashes=False)
             total, removed, kept = [], [], []
             for k in range(b - a):
                 lo, hi = int(words.first[k]), int(words.first[k + 1])
