@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import byte_batches
+from brindle.llm.common import text_slices, tidy
 
 CACHE = 300_000  # pre-tokens whose ids a worker remembers
+CACHE_BYTES = 8_000_000  # and the characters in them, about; a pre-token may be a whole text
 
 # fixed values: what the pattern's contractions have after the apostrophe
 ONE = "stmd"
@@ -189,6 +190,7 @@ class Tokenizer:
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.bytes = {i: b for b, i in self.ranks.items()}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.held = 0  # characters in the cache
         self.pairs = Pairs(self.ranks)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
 
@@ -279,9 +281,11 @@ class Tokenizer:
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         cache, split = self.cache, self.pieces(texts)
         missing = list({p for pieces in split for p in pieces if p not in cache})
-        if len(cache) + len(missing) > CACHE:
+        self.held += sum(map(len, missing))
+        if len(cache) + len(missing) > CACHE or self.held > CACHE_BYTES:
             cache.clear()
             missing = list({p for pieces in split for p in pieces})
+            self.held = sum(map(len, missing))
         cache.update(zip(missing, self.merge([p.encode("utf-8") for p in missing])))
         return [list(chain.from_iterable(map(cache.__getitem__, pieces))) for pieces in split]
 
@@ -338,9 +342,8 @@ def _run(path: str, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_string()).to_pylist()
-            for a, b in byte_batches(texts, 1_000_000):
-                coded = tok.encode_batch([t or "" for t in texts[a:b]])
+            for a, b, texts in text_slices(batch, "text"):
+                coded = tok.encode_batch([(t or b"").decode() for t in texts])
                 if full:
                     columns = [pa.array(coded, pa.list_(pa.int32())), pa.array([_offsets(tok, ids) for ids in coded], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns], names=["id", "ids", "offsets"])
@@ -350,6 +353,10 @@ def _run(path: str, full: bool):
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0)[a:b], pa.array([len(x) for x in coded], pa.int64()), pa.array(digest), pa.array(back)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                     )
+        if tok.held > CACHE_BYTES // 4:
+            tok.cache.clear()
+            tok.held = 0
+        tidy()
 
     return run
 

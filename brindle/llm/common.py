@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,13 +191,16 @@ class Words:
         return mix(out ^ U64(seed * 0xD6E8FEB86659FD93 % 2**64))
 
 
-def byte_batches(values: list, most: int = 4_000_000):
-    """Ranges of a list of byte strings (or None) of about `most` bytes each, one text at least."""
-    at, size = 0, 0
-    for k, v in enumerate(values):
-        if size and size + len(v or b"") > most:
-            yield at, k
-            at, size = k, 0
-        size += len(v or b"")
-    if at < len(values):
-        yield at, len(values)
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000):
+    """(from, to, texts): a batch's rows in slices of about `most` bytes, one row at least; texts as bytes or None.
+
+    Only one slice at a time is turned into Python objects, whatever the batch holds.
+    """
+    texts = batch.column(column)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        before = size[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(size, before + most, "right")))
+        yield a, b, texts.slice(a, b - a).cast(pa.large_binary()).to_pylist()
+        a = b

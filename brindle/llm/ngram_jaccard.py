@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import U64, Scratch, Words, byte_batches, mix, sieved
+from brindle.llm.common import U64, Scratch, Words, mix, sieved, text_slices, tidy
 from brindle.llm.graph import components
 
 GROUPS = 64  # coordinates of a small set's point; larger sets have more, about twice their size
@@ -169,10 +169,9 @@ def _features(n: int, percent: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            texts = batch.column(text_col).cast(pa.large_binary()).to_pylist()
-            for a, b in byte_batches(texts):
+            for a, b, texts in text_slices(batch, text_col):
                 rows = []
-                for s in shingle_sets([t or b"" for t in texts[a:b]], n):
+                for s in shingle_sets([t or b"" for t in texts], n):
                     both = mix(s), mix(s ^ U64(0xA0761D6478BD642F))
                     ids = [int(x.sum(dtype=U64)) - (1 << 63) for x in both]
                     rows.append((len(s), *ids, points(s) if len(s) else b"", block_keys(s, bands).view(np.int64)))
@@ -181,34 +180,39 @@ def _features(n: int, percent: int, id_col: str, text_col: str):
                     [batch.column(id_col)[a:b].cast(pa.int64()), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(point, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "s1", "s2", "point", "keys"],
                 )
+        tidy()
 
     return run
 
 
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(s) + len(t)
+    if (100 + percent) * min(len(s), len(t)) < percent * both:
+        return False
+    together = np.concatenate([s, t])
+    together.sort()
+    return (100 + percent) * int((together[1:] == together[:-1]).sum()) >= percent * both
+
+
 def _verified(n: int, percent: int):
     """For rows (b, part, own, a, text) sorted so that b's own row comes first in its part: the linked (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, centre = None, None
+        at, centres = None, []
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             b_s, parts, own, a_s = (batch.column(c).to_pylist() for c in ("b", "part", "own", "a"))
-            for lo, hi in byte_batches(texts):
+            for lo, _, texts in text_slices(batch, "text"):
                 left, right = [], []
-                for k, s in enumerate(shingle_sets([t or b"" for t in texts[lo:hi]], n), lo):
+                for k, s in enumerate(shingle_sets([t or b"" for t in texts], n), lo):
+                    if at != (b_s[k], parts[k]):
+                        at, centres = (b_s[k], parts[k]), []
                     if own[k]:
-                        at, centre = (b_s[k], parts[k]), s
-                    elif at == (b_s[k], parts[k]):
-                        both = len(s) + len(centre)
-                        if (100 + percent) * min(len(s), len(centre)) < percent * both:
-                            continue
-                        together = np.concatenate([s, centre])
-                        together.sort()
-                        overlap = int((together[1:] == together[:-1]).sum())
-                        if (100 + percent) * overlap >= percent * both:
-                            left.append(a_s[k])
-                            right.append(b_s[k])
+                        centres.append(s)  # rows that share the id each bring their set
+                    elif any(_linked(s, c, percent) for c in centres):
+                        left.append(a_s[k])
+                        right.append(b_s[k])
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        tidy()
 
     return run
 

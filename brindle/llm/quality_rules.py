@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Words, byte_batches
+from brindle.llm.common import Words, text_slices, tidy
 
 SAMPLE_ROWS = 2000
 SYMBOLS = b"#*$%&|<>"
@@ -166,9 +166,9 @@ RULES = (
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Batch]]:
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-        for a, b in byte_batches(texts):
-            yield batch.slice(a, b - a), Batch([t or b"" for t in texts[a:b]])
+        for a, b, texts in text_slices(batch, "text"):
+            yield batch.slice(a, b - a), Batch([t or b"" for t in texts])
+    tidy()
 
 
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> dict[str, tuple[float, float]]:
@@ -247,13 +247,13 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "t
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(text_col).cast(pa.large_binary()).to_pylist()
-            for a, b in byte_batches(texts):
-                figures = Batch([t or b"" for t in texts[a:b]])
+            for a, b, texts in text_slices(batch, text_col):
+                figures = Batch([t or b"" for t in texts])
                 open_ = np.flatnonzero(~figures.base_failed)
                 for r in cascade:
                     if len(open_):
                         open_ = open_[~r.rejects(figures, open_)]
                 yield batch.slice(a, b - a).take(pa.array(open_, pa.int64()))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

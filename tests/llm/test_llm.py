@@ -248,7 +248,9 @@ def test_language_mixture(spark):
 # --- mixing ---
 
 
-def test_mix_targets_and_limits(spark, docs, texts):
+def test_mix_targets_and_limits(spark, docs, texts, monkeypatch):
+    """Targets and the words taken of each document, against a sequential schedule of the same points."""
+    from brindle.llm import source_mixing
     from brindle.llm.source_mixing import mix, mixed, taken
 
     sizes = [len(WORD.findall(t or "")) for t in texts]
@@ -268,13 +270,30 @@ def test_mix_targets_and_limits(spark, docs, texts):
             del free[s]
     for s in free:
         goal[s] = rest * free[s] / sum(free.values())
-    for s in names:
-        own = [r for r in rows if r.source == s]
-        assert abs(own[0].target - goal[s]) < 1e-6 and own[0].source_size == total[s] and abs(sum(r.taken for r in own) - goal[s]) <= 0.5
+    words = sum(goal.values())
+    block = max(1, int(words // (1 << 17)))
+    slots = max(1, round(words / block))
+    ends = np.cumsum([goal[s] / words for s in names])
+    points = (np.arange(slots) + 0.5) * 0.6180339887498949 % 1
+    hits = np.bincount(np.minimum(np.searchsorted(ends, points, "right"), 2), minlength=3)
+    for k, s in enumerate(names):
+        own = sorted((r for r in rows if r.source == s), key=lambda r: (r.shuffle, r.doc_id))
+        assert abs(own[0].target - goal[s]) < 1e-6 and own[0].source_size == total[s]
+        take = min(int(hits[k]) * block, 2 * total[s])
+        assert abs(take - goal[s]) <= 5 * block
+        at = 0
+        for r in own:
+            assert r.taken == sum(max(0, min(x + r["size"], take) - x) for x in (at, at + total[s]))
+            at += r["size"]
+    monkeypatch.setattr(source_mixing, "GOLDEN", 0.0001)
+    assert {r.doc_id: r.taken for r in taken(*mix(docs)).collect()} != {r.doc_id: r.taken for r in rows}
+    monkeypatch.undo()
     again = {r.doc_id: r.taken for r in taken(*mix(docs.repartition(7))).collect()}
     assert again == {r.doc_id: r.taken for r in rows}
     words = collections.Counter()
-    for r in mixed(docs).collect():
+    clash = docs.select("*", *(F.lit(0).alias(c) for c in ("size", "taken", "row", "slot", "shuffle", "target", "start", "words", "epoch")))
+    assert mixed(clash).columns == clash.columns
+    for r in mixed(clash).collect():
         words[r.doc_id] += len(WORD.findall(r.text))
     assert dict(words) == {r.doc_id: r.taken for r in rows if r.taken}
     assert taken(*mix(docs.limit(0))).count() == 0
