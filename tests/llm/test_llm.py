@@ -57,6 +57,20 @@ def test_warc_round_trip(spark):
         assert (r.record_type, r.refers_to) == expected
         assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == html[r.page_id]
     assert round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *(F.lit(0).alias(c) for c in ("payload", "archive", "record_type", "refers_to")))
+    assert round_trip(clash).count() == len(rows)
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    from brindle.llm.common import Scratch
+    from brindle.llm.warc import read_archives, write_archives
+
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("x"), F.col("id").cast("int") + 10).alias("html")).repartition(4)
+    scratch = Scratch(spark, "warc-test")
+    archives = scratch.table(write_archives(pages, scratch.path("archives"), 1000), "manifest")
+    read = read_archives(archives)
+    assert archives.count() > 1 and read.count() == 40
+    assert read.select(F.spark_partition_id()).distinct().count() > 1
 
 
 @pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
@@ -122,6 +136,22 @@ def test_html_self_closing_foreign_elements():
 # --- nearest neighbours ---
 
 
+def test_html_takes_linear_time():
+    """A megabyte of unclosed tags and 50,000 nested ones; a weak mark inside an article yields to its text, a strong one doesn't."""
+    import time
+
+    from brindle.llm.html_text import main_text
+
+    for page in ("<a " * 350_000, "<div>" * 50_000 + "<p>x y.</p>", "<div><p>ab.</p>" * 20_000, "<b>" + "<i>" * 30_000 + "<div>" + "</b>" * 30_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 10  # seconds; quadratic scans took minutes
+    prose_ = "A sentence that says something, and then some more. " * 6
+    page = f"<article><h1>T</h1><p>{prose_}</p><div class='share-price related'><p>{prose_}kept</p></div><div class='comments'><p>{prose_}gone</p></div></article>"
+    assert "kept" in main_text(page) and "gone" not in main_text(page)
+    assert main_text("") == ""
+
+
 def test_ann_recall_and_order(spark):
     from brindle.llm.ann_forest import neighbours
 
@@ -248,6 +278,17 @@ def test_language_mixture(spark):
 # --- mixing ---
 
 
+def test_mixture_depends_on_the_text_alone(spark, docs):
+    from brindle.llm.language_mixture import fit, identify
+
+    rows = docs.where("text is not null").withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 6))
+    models = fit(rows)
+    together = {r.doc_id: r.mixture for r in identify(docs, models).collect()}
+    alone = {r.doc_id: r.mixture for r in identify(docs.repartition(50), models).collect()}
+    assert together == alone and len(models.languages) == 6
+    assert identify(docs.limit(0), models).count() == 0
+
+
 def test_mix_targets_and_limits(spark, docs, texts, monkeypatch):
     """Targets and the words taken of each document, against a sequential schedule of the same points."""
     from brindle.llm import source_mixing
