@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from brindle.functions import fixed
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often `use` names it: projections are inlined, lambda variables aren't."""
+    return F.transform(F.array(value), use)[0]
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brindle.functions import fixed
+from brindle.functions.scalars import once
 from brindle.operators import spatial
 
 RULES = ("listing_id", "slug", "description", "egid", "coords", "address", "coords_exact")
@@ -26,8 +27,7 @@ def normalize_text(c: str | Column) -> Column:
 
 def description_hash(c: str | Column, min_chars: int = 1) -> Column:
     """SHA-256 of the normalised text; null if that is shorter than min_chars."""
-    n = normalize_text(c)
-    return F.when(F.length(n) >= min_chars, F.sha2(n, 256))
+    return once(normalize_text(c), lambda n: F.when(F.length(n) >= min_chars, F.sha2(n, 256)))
 
 
 def address_key(postcode: str | Column, street: str | Column) -> Column:
@@ -39,11 +39,11 @@ def address_key(postcode: str | Column, street: str | Column) -> Column:
     return F.when((F.length(s) > 0) & (F.length(p) > 0), F.concat(p, F.lit("|"), s))
 
 
-def components(edges: DataFrame, nodes: DataFrame, checkpoint: bool = True, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, checkpoint: bool = True) -> DataFrame:
     """(id, root) for each id of nodes; root is the smallest id of its component.
 
     Each round gives every node the smallest label of its neighbours and then its label's label
-    (pointer jumping), so long chains halve. Labels are checkpointed when the session has a
+    (pointer jumping), so long chains halve; it ends when no label moves. Labels are checkpointed when the session has a
     checkpoint folder, cached otherwise.
     """
     both = edges.select("left_id", "right_id").union(edges.select("right_id", "left_id")).distinct().toDF("id", "other")
@@ -51,7 +51,7 @@ def components(edges: DataFrame, nodes: DataFrame, checkpoint: bool = True, roun
     keep = (lambda d: d.checkpoint()) if has_dir else (lambda d: d.cache())
     both = keep(both)
     labels = keep(both.groupBy("id").agg(F.min(F.least("id", "other")).alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("other"), "root"), "other").groupBy("id").agg(F.min("root").alias("near"))
         low = labels.join(near, "id").select("id", F.least("root", "near").alias("root"))
         up = low.select(F.col("id").alias("root"), F.col("root").alias("up"))
