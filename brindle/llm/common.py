@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -79,6 +80,11 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.table(table)
 
+    def clean(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps whose frames are gone."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             if name in self.tables:
