@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brindle.operators.order import positions, quantiles
 from brindle.operators.robust import winsor_bounds
 
 
@@ -84,22 +85,23 @@ def leave_one_out(columns: Sequence[str], weights: Sequence[float] | None = None
     return out
 
 
-def average_rank(df: DataFrame, column: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds the rank of the column with ties at their mean, null for null.
+def _ranked(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds __rank, the column's rank with ties at their mean, and __n, the number ranked; null for null."""
+    at = positions(df, F.col(column), keys=keys).select("__k", "__v", (F.col("__before") + (F.col("__w") + 1) / 2).alias("__rank"), "__n")
+    same = F.col(column).cast("double") == F.col("__v")
+    if keys:
+        same = same & (F.struct(*keys) == F.col("__k"))
+    return df.join(at, same, "left").drop("__k", "__v")
+
 
-    Distinct values are counted and summed up first, so rows are never gathered in one task.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2).drop("__c")
-    return df.join(ranks, [*keys, column], "left")
+def average_rank(df: DataFrame, column: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds the rank of the column (as double) with ties at their mean, null for null; a null key is a key."""
+    return _ranked(df, column, keys).withColumnRenamed("__rank", out).drop("__n")
 
 
 def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds (average rank - 1) / max(n - 1, 1) * 100."""
-    n = df.agg(F.count(column).alias("__n"))
-    ranked = average_rank(df, column, "__r").crossJoin(F.broadcast(n))
-    return ranked.withColumn(out, (F.col("__r") - 1) / F.greatest(F.col("__n") - 1, F.lit(1)) * 100).drop("__r", "__n")
+    return _ranked(df, column).withColumn(out, (F.col("__rank") - 1) / F.greatest(F.col("__n") - 1, F.lit(1)) * 100).drop("__rank", "__n")
 
 
 def value_score(df: DataFrame, quality: str, price: str, quality_weight: float = 0.5) -> DataFrame:
@@ -111,13 +113,10 @@ def value_score(df: DataFrame, quality: str, price: str, quality_weight: float =
 
 def reference_percentile(df: DataFrame, reference: DataFrame, column: str, out: str) -> DataFrame:
     """Adds the mid-rank percentile of the column in the reference's distribution."""
-    ref = reference.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    own = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()
-    steps = own.join(ref, "v", "full").select("v", F.coalesce("c", F.lit(0)).alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = ref.agg(F.sum("c").alias("n"))
-    at = steps.withColumn("b", below).crossJoin(F.broadcast(total)).select(F.col("v").alias(column), ((F.col("b") + 0.5 * F.col("c")) / F.col("n") * 100).alias(out))
-    return df.join(at, column, "left")
+    weighed = lambda d, w: d.select(F.col(column).cast("double").alias("v"), F.lit(w).cast("long").alias("w"))
+    at = positions(weighed(reference, 1).unionByName(weighed(df, 0)), F.col("v"), F.col("w"))
+    share = (F.col("__before") + 0.5 * F.col("__w")) / F.nullif(F.col("__n"), F.lit(0)) * 100
+    return df.join(at.select("__v", share.alias(out)), F.col(column).cast("double") == F.col("__v"), "left").drop("__v")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -139,14 +138,23 @@ def convergent_validity(df: DataFrame, a: str, b: str, z: float = 1.959963984540
 def rank_comparison(df: DataFrame, base: str, other: str, id_col: str) -> DataFrame:
     """(n, spearman, mean_shift, p90_shift, top_decile): rank shifts in percentile points, share of the top tenth that stays."""
     rows = df.where(F.col(base).isNotNull() & F.col(other).isNotNull()).select(id_col, F.col(base).alias("a"), F.col(other).alias("b"))
-    n = rows.agg(F.count("*").alias("n"))
-    ranked = average_rank(average_rank(rows, "a", "ra"), "b", "rb").crossJoin(F.broadcast(n))
+    ranked = _ranked(average_rank(rows, "a", "ra"), "b").withColumnsRenamed({"__rank": "rb", "__n": "n"})
     shift = F.abs(F.col("ra") - F.col("rb")) / F.greatest(F.col("n") - 1, F.lit(1)) * 100
-    sums = ranked.agg(F.first("n").alias("n"), F.corr("ra", "rb").alias("spearman"), F.avg(shift).alias("mean_shift"), F.percentile(shift, 0.9).alias("p90_shift"))
-    k = max(1, int(np.ceil(0.1 * rows.count())))
-    top = lambda c: rows.orderBy(F.desc(c), id_col).limit(k).select(id_col)
-    both = top("a").join(top("b"), id_col).agg((F.count("*") / k).alias("top_decile"))
-    return sums.crossJoin(F.broadcast(both))
+    sums = ranked.agg(F.coalesce(F.first("n"), F.lit(0)).alias("n"), F.corr("ra", "rb").alias("spearman"), F.avg(shift).alias("mean_shift"))
+    p90 = quantiles(ranked.select(shift.alias("s")), F.col("s"), [0.9]).select(F.col("q")[0].alias("p90_shift"))
+    k = F.greatest(F.lit(1), F.ceil(0.1 * F.col("__n")))
+    above = F.col("__n") - F.col("__before") - F.col("__w")
+
+    def top(c: str) -> DataFrame:
+        at = positions(rows, F.col(c)).where(above < k).select("__v", k.alias("k"), (k - above).alias("room"), "__w")
+        near = rows.join(at, F.col(c).cast("double") == F.col("__v"))
+        # of the value that the cut splits, the first ids
+        cut = near.where("room < __w").withColumn("r", F.row_number().over(Window.orderBy(id_col))).where("r <= room")
+        return near.where("room >= __w").select(id_col, "k").unionByName(cut.select(id_col, "k"))
+
+    both = top("a").join(top("b").drop("k"), id_col).agg((F.count("*") / F.first("k")).alias("share"))
+    out = sums.crossJoin(F.broadcast(p90)).crossJoin(F.broadcast(both))  # one row each
+    return out.select("n", "spearman", "mean_shift", "p90_shift", F.when(F.col("n") > 0, F.coalesce("share", F.lit(0.0))).alias("top_decile"))
 
 
 def weight_sensitivity(df: DataFrame, dims: Sequence[str], id_col: str, draws: int = 500, concentration: float = 10.0, seed: int = 42, base: Sequence[float] | None = None) -> DataFrame:
@@ -174,10 +182,10 @@ def cronbach(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def weighted_quantile(df: DataFrame, value: str, weight: str, q: float, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, q): linear interpolation of the value at (cumulative weight - weight / 2) / total, ends held."""
-    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*keys, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    order = Window.partitionBy(*keys).orderBy("v")
-    rows = rows.withColumn("cdf", (F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("w") / 2) / F.sum("w").over(Window.partitionBy(*keys)))
-    rows = rows.withColumn("c0", F.lag("cdf").over(order)).withColumn("v0", F.lag("v").over(order))
-    at = F.col("v0") + (F.col("v") - F.col("v0")) * (q - F.col("c0")) / F.nullif(F.col("cdf") - F.col("c0"), F.lit(0.0))
-    inside = F.min_by(F.coalesce(at, F.col("v")), F.when(F.col("cdf") >= q, F.col("cdf")))
-    return rows.groupBy(*keys).agg(F.coalesce(inside, F.max("v")).alias("q"))
+    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    at = positions(rows, F.col(value), F.col(weight), keys).select("__k", F.col("__v").alias("v"), ((F.col("__before") + F.col("__w") / 2) / F.col("__n")).alias("cdf"))
+    low, high = F.when(F.col("cdf") < q, F.struct("v", "cdf")), F.when(F.col("cdf") >= q, F.struct("v", "cdf"))
+    ends = (at.groupBy("__k") if keys else at).agg(F.max(low).alias("a"), F.min(high).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    inside = a["v"] + (b["v"] - a["v"]) * (q - a["cdf"]) / F.nullif(b["cdf"] - a["cdf"], F.lit(0.0))
+    return ends.select(*(["__k.*"] if keys else []), F.coalesce(inside, b["v"], a["v"]).alias("q"))

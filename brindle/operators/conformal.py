@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.metrics import order_statistic
+from brindle.operators.order import quantiles
 
 
-def rank(alpha: float) -> Column:
-    """ceil((n + 1) (1 - alpha) - 1e-9), an aggregate over the scores `v`."""
+def rank(alpha: float) -> Callable[[Column], Column]:
+    """ceil((n + 1) (1 - alpha) - 1e-9) by the number of scores."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
-    return F.ceil((F.count("v") + 1) * (1 - alpha) - 1e-9)
+    return lambda n: F.ceil((n + 1) * (1 - alpha) - 1e-9)
 
 
 def quantile(df: DataFrame, score: Column, alpha: float, groups: Sequence[str] = ()) -> DataFrame:
@@ -53,7 +54,7 @@ def normalized(calibration: DataFrame, apply_to: DataFrame, mu: str, sigma: str,
 
 def band_cutpoints(df: DataFrame, value: str, bands: int = 4) -> DataFrame:
     """One row: cuts, the quantiles between bands."""
-    return df.agg(F.percentile(value, [k / bands for k in range(1, bands)]).alias("cuts"))
+    return quantiles(df, F.col(value), [k / bands for k in range(1, bands)]).select(F.col("q").alias("cuts"))
 
 
 def band(value: str | Column, cuts: str | Column = "cuts") -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brindle.operators.order import order_statistics
+
 
 def _errors(y: str, p: str) -> dict[str, Column]:
     e = F.col(p) - F.col(y)
@@ -51,24 +53,15 @@ def interval_score(y: str, low: str, high: str, alpha: float) -> Column:
     return F.avg((hi - lo) + 2 / alpha * F.greatest(lo - t, F.lit(0.0)) + 2 / alpha * F.greatest(t - hi, F.lit(0.0)))
 
 
-def order_statistic(df: DataFrame, value: Column, k: Column, groups: Sequence[str] = ()) -> DataFrame:
-    """(groups, q): the k-th smallest value of each group; k is an aggregate over it, +infinity beyond the last.
-
-    Values are counted first, so ties and large groups cost a row for each distinct value.
-    """
-    rows = df.select(*groups, value.alias("v")).where("v is not null")
-    want = rows.groupBy(*groups).agg(k.alias("k"))
-    counts = rows.groupBy(*groups, "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*groups).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = counts.withColumn("upto", F.sum("c").over(w))
-    joined = upto.join(want, list(groups)) if groups else upto.crossJoin(F.broadcast(want))
-    found = joined.groupBy(*groups).agg(F.min(F.when(F.col("upto") >= F.col("k"), F.col("v"))).alias("q"))
-    return found.withColumn("q", F.coalesce("q", F.lit(float("inf"))))
+def order_statistic(df: DataFrame, value: Column, k: Callable[[Column], Column], groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, q): the k-th smallest value of each group, k by the number of its values; +infinity beyond the last."""
+    found = order_statistics(df, value, lambda n: [k(n) - 1], groups)
+    return found.select(*groups, F.coalesce(F.col("at")[0], F.lit(float("inf"))).alias("q"))
 
 
 def constant_band(df: DataFrame, y: str, p: str, coverage: float) -> DataFrame:
     """(q): the half width that covers the share: the k-th smallest error, k = max(ceil(n * coverage - 1e-9), 1)."""
-    k = F.greatest(F.ceil(F.count("v") * coverage - 1e-9), F.lit(1))
+    k = lambda n: F.greatest(F.ceil(n * coverage - 1e-9), F.lit(1))
     return order_statistic(df, F.abs(F.col(y) - F.col(p)), k)
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.order import quantiles
+
 MIN_COUNT = 20
 
 
@@ -18,9 +20,15 @@ def unit_stats(listings: DataFrame, levels: Mapping[str, str], min_count: int =
     row is taken once for each level, grouped by (level, unit).
     """
     units = F.explode(F.array(*(F.struct(F.lit(name).alias("level"), F.col(key).cast("string").alias("unit_id")) for name, key in levels.items())))
-    rows = listings.select((F.col(price) / F.col(area)).alias("rate"), F.col(price).alias("price"), *extra, units.alias("u")).where("u.unit_id is not null")
-    rate = F.percentile("rate", [0.25, 0.5, 0.75])
-    sums = rows.groupBy("u.level", "u.unit_id").agg(F.count("*").alias("n"), rate.alias("q"), F.median("price").alias("median_price"), *(F.median(c).alias(f"median_{c}") for c in extra))
+    measures = [("rate", F.col(price) / F.col(area)), ("price", F.col(price)), *((f"extra {c}", F.col(c)) for c in extra)]
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), c.cast("double").alias("v")) for m, c in measures)))
+    rows = listings.select(units.alias("u"), each.alias("x")).where("u.unit_id is not null").select("u.*", "x.*")
+    found = quantiles(rows, F.col("v"), [0.25, 0.5, 0.75], ["level", "unit_id", "measure"])
+    at = lambda m, i: F.max(F.when(F.col("measure") == m, F.col("q")[i]))
+    spread = F.array(*(at("rate", i) for i in range(3)))
+    parts = found.groupBy("level", "unit_id").agg(spread.alias("q"), at("price", 1).alias("median_price"), *(at(f"extra {c}", 1).alias(f"median_{c}") for c in extra))
+    counts = listings.select(units.alias("u")).where("u.unit_id is not null").groupBy("u.level", "u.unit_id").agg(F.count("*").alias("n"))
+    sums = counts.join(parts, ["level", "unit_id"], "left")
 
     def shown(c: Column) -> Column:
         return F.when(F.col("n") >= min_count, c)

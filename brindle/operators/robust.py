@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.order import quantiles
+
 KAPPA = 0.6745  # of a normal: median absolute deviation / standard deviation
 MEAN_KAPPA = 1.253314  # standard deviation / mean absolute deviation
 
 
-def _level(units: DataFrame, key: str, min_group: int) -> DataFrame:
-    """(key, center, mad, n) of the units' values; groups too small or without spread are left out."""
-    known = units.where(F.col(key).isNotNull())
-    per = known.groupBy(key, "__object").agg(F.median("__x").alias("v"))
-    centers = per.groupBy(key).agg(F.median("v").alias("center"), F.count("*").alias("n"))
-    spread = per.join(centers, key).groupBy(key, "center", "n").agg(F.median(F.abs(F.col("v") - F.col("center"))).alias("mad"))
-    return spread.where((F.col("n") >= min_group) & (F.col("mad") > 0))
+def _level(units: DataFrame, key: str | None, min_group: int) -> DataFrame:
+    """(key, center, mad, mean_dev, n) of the units' values, an object once by its median; without a key one row of all.
+
+    Groups too small or without spread are left out.
+    """
+    keys = [key] if key else []
+    known = units.where(F.col(key).isNotNull()) if key else units
+    per = known.groupBy(*keys, "__object").agg(F.median("__x").alias("v"))
+    centers = quantiles(per, F.col("v"), [0.5], keys).select(*keys, F.col("q")[0].alias("center"))
+    far = (per.join(centers, key) if key else per.crossJoin(F.broadcast(centers))).withColumn("d", F.abs(F.col("v") - F.col("center")))
+    mads = quantiles(far, F.col("d"), [0.5], keys).select(*keys, F.col("q")[0].alias("mad"), "n")
+    if key:
+        return centers.join(mads.where((F.col("n") >= min_group) & (F.col("mad") > 0)), key)
+    return centers.crossJoin(F.broadcast(mads)).crossJoin(F.broadcast(far.agg(F.avg("d").alias("mean_dev"))))
 
 
 def price_zscores(df: DataFrame, groups: Sequence[str] = ("municipality_id", "district_id", "canton"), object_id: str | None = None, min_group: int = 10, min_scale_ratio: float = 0.5, price: str = "price", area: str = "area", id_col: str = "listing_id") -> DataFrame:
@@ -32,9 +40,7 @@ def price_zscores(df: DataFrame, groups: Sequence[str] = ("municipality_id", "di
     obj = F.col(object_id).cast("string") if object_id else F.col(id_col).cast("string")
     rows = df.withColumn("__x", x).withColumn("__object", F.coalesce(obj, F.concat(F.lit("row "), F.col(id_col).cast("string"))))
     units = rows.where(F.col("__x").isNotNull())
-    each = units.groupBy("__object").agg(F.median("__x").alias("v"))
-    center = each.agg(F.median("v").alias("c"))
-    whole = each.crossJoin(F.broadcast(center)).agg(F.first("c").alias("__c"), F.median(F.abs(F.col("v") - F.col("c"))).alias("mad"), F.avg(F.abs(F.col("v") - F.col("c"))).alias("mean_dev"))
+    whole = _level(units, None, min_group).withColumnRenamed("center", "__c")
     whole = whole.select("__c", F.when(F.col("mad") > 0, F.col("mad") / KAPPA).otherwise(MEAN_KAPPA * F.col("mean_dev")).alias("__s"))
     out = rows.crossJoin(F.broadcast(whole))  # one row
     best_c, best_s, parent = F.col("__c"), F.col("__s"), F.col("__s")
@@ -57,7 +63,7 @@ def price_outliers(df: DataFrame, threshold: float = 3.5, **options) -> DataFram
 def naive_rates(train: DataFrame, apply_to: DataFrame, levels: Sequence[str] = ("municipality_id", "district_id", "canton"), min_count: int = 5, price: str = "price", area: str = "area") -> DataFrame:
     """Adds rate (median price / area of the finest level with min_count rows, else of all), rate_source and prediction."""
     rows = train.where((F.col(area) > 0) & F.col(price).isNotNull()).withColumn("__r", F.col(price) / F.col(area))
-    whole = rows.agg(F.median("__r").alias("__all"))
+    whole = quantiles(rows, F.col("__r"), [0.5]).select(F.col("q")[0].alias("__all"))
     out, rate, source = apply_to.crossJoin(F.broadcast(whole)), [], []
     for k, key in enumerate(levels):
         stats = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"__k{k}")).agg(F.median("__r").alias(f"__r{k}"), F.count("*").alias("n")).where(F.col("n") >= min_count).drop("n")
@@ -118,12 +124,13 @@ def target_encode_oof(df: DataFrame, keys: Sequence[str], target: str, fold: str
 
 def winsor_bounds(df: DataFrame, columns: Sequence[str], share: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """(column, low, high): quantiles by linear interpolation, the extremes where these coincide."""
-    parts = []
-    for c in columns:
-        q = df.agg(F.percentile(c, list(share)).alias("q"), F.min(c).alias("a"), F.max(c).alias("b"))
-        same = F.col("q")[0] == F.col("q")[1]
-        parts.append(q.select(F.lit(c).alias("column"), F.when(same, F.col("a")).otherwise(F.col("q")[0]).alias("low"), F.when(same, F.col("b")).otherwise(F.col("q")[1]).alias("high")))
-    return reduce(DataFrame.unionByName, parts)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns)))
+    values = df.select(each.alias("x")).select("x.*")
+    found = quantiles(values, F.col("v"), [*share, 0.0, 1.0], ["column"])
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    q = F.col("q")
+    same = q[0] == q[1]
+    return names.join(found, "column", "left").select("column", F.when(same, q[2]).otherwise(q[0]).alias("low"), F.when(same, q[3]).otherwise(q[1]).alias("high"))
 
 
 def weighted_unit_scores(df: DataFrame, values: Sequence[str], weight: str, group: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brindle.operators.order import quantiles
+
 
 def group_key(group: str, row_id: str) -> Column:
     """The group as text; rows without one are groups of their own."""
@@ -22,7 +24,7 @@ def make_strata(df: DataFrame, row_id: str, region: str = "canton", price: str =
     Strata under `least` rows become `ALL|Pk`; where that is still too small, the band's largest kept
     stratum (ties by label) takes it, else the largest of all, else `ALL|ALL`.
     """
-    cuts = df.agg(F.percentile(price, [k / bins for k in range(1, bins)]).alias("__q"))
+    cuts = quantiles(df, F.col(price), [k / bins for k in range(1, bins)]).select(F.col("q").alias("__q"))
     rows = df.crossJoin(F.broadcast(cuts))
     distinct = F.array_distinct(F.coalesce("__q", F.array().cast("array<double>")))
     band = F.when(F.col(price).isNull(), "PNA").otherwise(F.concat(F.lit("P"), (F.size(F.filter(distinct, lambda c: F.col(price) > c)) + 1).cast("string")))

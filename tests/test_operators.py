@@ -245,3 +245,33 @@ def test_holm_by_group(spark):
             top = max(top, min(1.0, (len(own) - k) * p))
             assert got[g, n] == pytest.approx(top)
     assert all(got[g, n] is None for g, n, p in rows if p is None)
+
+
+def test_order_matches_numpy(spark):
+    """Ranks and quantiles over groups with ties, nulls, infinities, far outliers and tight clusters."""
+    import numpy as np
+    from brindle.operators import order
+
+    rng = np.random.default_rng(3)
+    groups = {
+        "ties": [float(x) for x in rng.integers(-5, 5, 300)],
+        "wide": [float(x) for x in np.concatenate([rng.normal(1e6, 1e-3, 200), rng.normal(0, 1e-9, 200), [-1e300, 1e300]])],
+        "one": [7.0],
+        None: [float(x) for x in rng.lognormal(0, 4, 250)],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("wide", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r.g: (r.n, r.q) for r in order.quantiles(df, F.col("v"), shares, ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g][0] == len(vs)
+        assert np.allclose(got[g][1], np.quantile(vs, shares), rtol=1e-9)
+    places = {(r["__k"].g, r["__v"]): (r["__before"], r["__w"]) for r in order.positions(df, F.col("v"), keys=["g"]).collect()}
+    for g, vs in groups.items():
+        for v in vs:
+            assert places[g, v] == (sum(x < v for x in vs), vs.count(v))
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (0.0,), (-0.0,), (None,)], "v double")
+    assert [(str(r["__v"]), r["__before"], r["__w"]) for r in order.positions(odd, F.col("v")).orderBy("__before").collect()] == [("-inf", 0, 1), ("0.0", 1, 2), ("inf", 3, 1), ("nan", 4, 1)]
+    none = order.quantiles(df.where("g = 'empty'"), F.col("v"), [0.5]).collect()
+    assert len(none) == 1 and none[0].q is None
