@@ -16,49 +16,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-STEPS = 4096  # equal steps of the range
-FINE = 256  # steps of a power of two
+STEPS = 4096  # most equal steps of the range
+FINE = 256  # most steps of a power of two
+ROWS = 1024  # distinct values of a key for each step
 
 
-def _log_step(distance: Column) -> Column:
+KEY = ["__h", "__k"]  # the hash of a key goes first: it is what sorts compare
+RUN = ["__hr", "__k", "__r"]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, worked out once: checkpointed if the session has a checkpoint folder, else cached.
+
+    For tables that a plan uses many times over.
+    """
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def _log_step(distance: Column, fine: Column) -> Column:
     """A step that grows with the size of a distance, negative ones turned round; 0 at 0."""
     size = F.greatest(F.abs(distance), F.lit(1e-300))
-    return F.signum(distance) * F.floor(FINE * (F.log2(size) + 1000))
+    return (F.signum(distance) * F.floor(fine * (F.log2(size) + 1000))).cast("long")
 
 
 def _runs(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds __r, which never falls while __v grows within __k; NaN, the largest, has a run to itself."""
+    """Adds __r, which never falls while __v grows within __k; NaN, the largest, has a run to itself.
+
+    The fewer values a key has, the coarser its steps; one with less than ROWS is one run.
+    """
     v = F.col("__v")
     finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    ends = counts.groupBy("__k").agg(F.min(finite).alias("__low"), F.max(finite).alias("__high"))
+    ends = counts.groupBy(*KEY).agg(F.min(finite).alias("__low"), F.max(finite).alias("__high"), F.floor(F.count("*") / ROWS).alias("__d"))
     half = F.col("__high") / 2 - F.col("__low") / 2  # the range itself may overflow
-    even = F.when(half > 0, F.floor(STEPS * ((v / 2 - F.col("__low") / 2) / half)))
-    parts = [even.cast("double"), _log_step(v / 2), _log_step(v / 2 - F.col("__low") / 2), _log_step(v / 2 - F.col("__high") / 2)]
-    inner = F.array(*(F.coalesce(p, F.lit(0.0)) for p in parts))
+    steps, fine = F.least(F.lit(STEPS), F.col("__d")), F.least(F.lit(FINE), F.col("__d"))
+    even = F.when(half > 0, F.floor(steps * ((v / 2 - F.col("__low") / 2) / half)))
+    parts = [even, _log_step(v / 2, fine), _log_step(v / 2 - F.col("__low") / 2, fine), _log_step(v / 2 - F.col("__high") / 2, fine)]
     # infinities and NaN lie outside all steps
-    outer = F.when(F.isnan(v), 2.0).when(v == float("inf"), 1.0).when(v == float("-inf"), -1.0).otherwise(0.0)
-    run = F.when(outer == 0, F.concat(F.array(outer), inner)).otherwise(F.array(outer, *[F.lit(0.0)] * len(parts)))
+    outer = F.when(F.isnan(v), 2).when(v == float("inf"), 1).when(v == float("-inf"), -1).otherwise(0)
+    cut = F.struct(outer.alias("o"), *(F.when((outer == 0) & (F.col("__d") > 0), F.coalesce(p, F.lit(0))).otherwise(0).cast("long").alias(f"s{i}") for i, p in enumerate(parts)))
     # a row a key; one in all without keys
-    return counts.join(ends if keys else F.broadcast(ends), "__k").withColumn("__r", run).drop("__low", "__high")
+    runs = counts.join(ends if keys else F.broadcast(ends), KEY).withColumn("__r", cut).drop("__low", "__high", "__d")
+    return runs.withColumn("__hr", F.xxhash64("__h", "__r"))
 
 
 def _counted(df: DataFrame, value: Column, weight: Column | None, keys: Sequence[str]) -> DataFrame:
     """(__k, __v, __w): a row for each key and value that isn't null, with its rows or their weight."""
     rows = df.select((F.struct(*keys) if keys else F.struct(F.lit(0))).alias("__k"), value.cast("double").alias("__v"), *([weight.alias("__x")] if weight is not None else []))
-    return rows.where("__v is not null").groupBy("__k", "__v").agg((F.count("*") if weight is None else F.sum("__x")).alias("__w"))
+    return rows.where("__v is not null").withColumn("__h", F.xxhash64("__k")).groupBy(*KEY, "__v").agg((F.count("*") if weight is None else F.sum("__x")).alias("__w"))
 
 
 def _offsets(runs: DataFrame) -> DataFrame:
     """(__k, __r, __offset, __size, __n): the sum before each run, its own, and that of the key."""
-    totals = runs.groupBy("__k", "__r").agg(F.sum("__w").alias("__size"))
-    before = Window.partitionBy("__k").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("__k", "__r", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"), "__size", F.sum("__size").over(Window.partitionBy("__k")).alias("__n"))
+    totals = runs.groupBy(*RUN, "__h").agg(F.sum("__w").alias("__size"))
+    before = Window.partitionBy(*KEY).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*RUN, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"), "__size", F.sum("__size").over(Window.partitionBy(*KEY)).alias("__n"))
 
 
 def _placed(runs: DataFrame, offsets: DataFrame) -> DataFrame:
     """Adds __before, the sum over smaller values of the key, to the rows of the runs in offsets."""
-    own = F.sum("__w").over(Window.partitionBy("__k", "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1))
-    return runs.join(offsets, ["__k", "__r"]).withColumn("__before", F.col("__offset") + F.coalesce(own, F.lit(0)))
+    own = F.sum("__w").over(Window.partitionBy(*RUN).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1))
+    return runs.join(offsets, RUN).withColumn("__before", F.col("__offset") + F.coalesce(own, F.lit(0)))
 
 
 def positions(df: DataFrame, value: Column, weight: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -82,7 +99,7 @@ def order_statistics(df: DataFrame, value: Column, ranks: Callable[[Column], Seq
     rows = _placed(runs, _offsets(runs).where(holds))
     first, last = F.col("__before"), F.col("__before") + F.col("__w")
     found = F.array(*(F.max(F.when((k >= first) & (k < last), F.col("__v"))) for k in ranks(n)))
-    grouped = rows.groupBy("__k") if keys else rows
+    grouped = rows.groupBy(*KEY) if keys else rows
     out = grouped.agg(F.max("__n").alias("n"), found.alias("at"))
     return out.select("__k.*", "n", "at") if keys else out
 

@@ -7,26 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.order import quantiles
+from brindle.operators.order import quantiles, settled
 
 KAPPA = 0.6745  # of a normal: median absolute deviation / standard deviation
 MEAN_KAPPA = 1.253314  # standard deviation / mean absolute deviation
 
 
-def _level(units: DataFrame, key: str | None, min_group: int) -> DataFrame:
-    """(key, center, mad, mean_dev, n) of the units' values, an object once by its median; without a key one row of all.
+def _spreads(units: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(level, unit, n, center, mad, mean_dev) by each of the groups (levels 0, 1, ...) and in all (level -1).
 
-    Groups too small or without spread are left out.
+    An object counts once in a unit, by its median.
     """
-    keys = [key] if key else []
-    known = units.where(F.col(key).isNotNull()) if key else units
-    per = known.groupBy(*keys, "__object").agg(F.median("__x").alias("v"))
+    keys = ["level", "unit"]
+    levels = [F.struct(F.lit(k).alias("level"), F.col(key).cast("string").alias("unit")) for k, key in enumerate(groups)]
+    levels.append(F.struct(F.lit(-1).alias("level"), F.lit("").alias("unit")))
+    rows = units.select("__object", "__x", F.explode(F.array(*levels)).alias("l")).select("__object", "__x", "l.*").where("unit is not null")
+    per = settled(rows.groupBy(*keys, "__object").agg(F.median("__x").alias("v")))
     centers = quantiles(per, F.col("v"), [0.5], keys).select(*keys, F.col("q")[0].alias("center"))
-    far = (per.join(centers, key) if key else per.crossJoin(F.broadcast(centers))).withColumn("d", F.abs(F.col("v") - F.col("center")))
-    mads = quantiles(far, F.col("d"), [0.5], keys).select(*keys, F.col("q")[0].alias("mad"), "n")
-    if key:
-        return centers.join(mads.where((F.col("n") >= min_group) & (F.col("mad") > 0)), key)
-    return centers.crossJoin(F.broadcast(mads)).crossJoin(F.broadcast(far.agg(F.avg("d").alias("mean_dev"))))
+    far = settled(per.join(centers, keys).select(*keys, "center", F.abs(F.col("v") - F.col("center")).alias("d")))
+    mads = quantiles(far, F.col("d"), [0.5], keys).select(*keys, "n", F.col("q")[0].alias("mad"))
+    return settled(far.groupBy(*keys, "center").agg(F.avg("d").alias("mean_dev")).join(mads, keys))
 
 
 def price_zscores(df: DataFrame, groups: Sequence[str] = ("municipality_id", "district_id", "canton"), object_id: str | None = None, min_group: int = 10, min_scale_ratio: float = 0.5, price: str = "price", area: str = "area", id_col: str = "listing_id") -> DataFrame:
@@ -40,13 +40,15 @@ def price_zscores(df: DataFrame, groups: Sequence[str] = ("municipality_id", "di
     obj = F.col(object_id).cast("string") if object_id else F.col(id_col).cast("string")
     rows = df.withColumn("__x", x).withColumn("__object", F.coalesce(obj, F.concat(F.lit("row "), F.col(id_col).cast("string"))))
     units = rows.where(F.col("__x").isNotNull())
-    whole = _level(units, None, min_group).withColumnRenamed("center", "__c")
-    whole = whole.select("__c", F.when(F.col("mad") > 0, F.col("mad") / KAPPA).otherwise(MEAN_KAPPA * F.col("mean_dev")).alias("__s"))
+    spreads = _spreads(units, groups)
+    scale = F.when(F.col("mad") > 0, F.col("mad") / KAPPA).otherwise(MEAN_KAPPA * F.col("mean_dev"))
+    whole = spreads.where("level = -1").agg(F.max("center").alias("__c"), F.max(scale).alias("__s"))
     out = rows.crossJoin(F.broadcast(whole))  # one row
     best_c, best_s, parent = F.col("__c"), F.col("__s"), F.col("__s")
     for k, key in reversed(list(enumerate(groups))):
-        stats = _level(units, key, min_group).select(F.col(key).alias(f"__k{k}"), F.col("center").alias(f"__c{k}"), (F.col("mad") / KAPPA).alias(f"__m{k}"))
-        out = out.join(stats, F.col(key) == F.col(f"__k{k}"), "left")
+        usable = spreads.where((F.col("level") == k) & (F.col("n") >= min_group) & (F.col("mad") > 0))
+        stats = usable.select(F.col("unit").alias(f"__k{k}"), F.col("center").alias(f"__c{k}"), (F.col("mad") / KAPPA).alias(f"__m{k}"))
+        out = out.join(stats, F.col(key).cast("string") == F.col(f"__k{k}"), "left")
         usable = F.col(f"__m{k}").isNotNull()
         floor = F.greatest(F.col(f"__m{k}"), min_scale_ratio * parent)
         parent = F.when(usable, floor).otherwise(parent)

@@ -247,7 +247,8 @@ def test_holm_by_group(spark):
     assert all(got[g, n] is None for g, n, p in rows if p is None)
 
 
-def test_order_matches_numpy(spark):
+@pytest.mark.parametrize("rows_a_step", [1, 1024])
+def test_order_matches_numpy(spark, monkeypatch, rows_a_step):
     """Ranks and quantiles over groups with ties, nulls, infinities, far outliers and tight clusters."""
     import numpy as np
     from brindle.operators import order
@@ -259,6 +260,7 @@ def test_order_matches_numpy(spark):
         "one": [7.0],
         None: [float(x) for x in rng.lognormal(0, 4, 250)],
     }
+    monkeypatch.setattr(order, "ROWS", rows_a_step)
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [("wide", None), ("empty", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
