@@ -168,3 +168,8 @@ FLAGS = {
     "is_new_build": KEYWORDS["new_build"],
     "is_attic": KEYWORDS["attic"],
 }
+
+# fixed values: input range of an estimate, m2 and rooms; scores of public transport classes
+AREA_RANGE = (10.0, 500.0)
+ROOMS_RANGE = (1.0, 15.0)
+TRANSIT_SCORE = {"A": 4, "B": 3, "C": 2, "D": 1}

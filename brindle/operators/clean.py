@@ -164,3 +164,11 @@ def source_table(specs: Mapping[str, Mapping[str, str]], keys: Sequence[str] | N
         raise KeyError(f"unknown sources: {unknown}")
     names = sorted({n for k in specs for n in specs[k]})
     return spark.createDataFrame([(k, *(specs[k].get(n) for n in names)) for k in keys], ", ".join(f"{n} string" for n in ["key", *names]))
+
+
+def outside_domain(area: str, rooms: str) -> Column:
+    """What lies outside the range of the training data: area, else rooms, else null; null and NaN are outside."""
+    def inside(c: str, low: float, high: float) -> Column:
+        return F.coalesce(F.col(c).between(low, high), F.lit(False))
+
+    return F.when(~inside(area, *fixed.AREA_RANGE), "area").when(~inside(rooms, *fixed.ROOMS_RANGE), "rooms")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -180,6 +181,38 @@ def cronbach(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, k / (k - 1) * (1 - F.try_divide(parts, F.var_samp(total)))).alias("alpha"))
 
 
+def dimension_consistency(df: DataFrame, indicators: Sequence[Indicator]) -> DataFrame:
+    """(dimension, n_indicators, cronbach_alpha, mean_spearman) of scored indicators.
+
+    The mean is over the dimension's pairs, each over rows that have both; null for a single indicator
+    or if a pair has no correlation. A dimension is a row of a few plans, their number fixed by the indicators.
+    """
+    dims: dict[str, list[str]] = {}
+    for i in indicators:
+        dims.setdefault(i.dimension, []).append(i.column)
+    parts = []
+    for d, columns in dims.items():
+        if len(columns) < 2:
+            none = F.lit(None).cast("double")
+            parts.append(df.sparkSession.range(1).select(F.lit(d).alias("dimension"), F.lit(len(columns)).cast("long").alias("n_indicators"), none.alias("cronbach_alpha"), none.alias("mean_spearman")))
+            continue
+        pairs = [spearman(df, a, b).select("rho") for n, a in enumerate(columns) for b in columns[n + 1 :]]
+        whole = F.count("rho") == F.count("*")
+        mean = reduce(DataFrame.union, pairs).agg(F.when(whole, F.avg("rho")).alias("mean_spearman"))
+        out = cronbach(df, columns).crossJoin(F.broadcast(mean))  # one row each
+        parts.append(out.select(F.lit(d).alias("dimension"), F.lit(len(columns)).cast("long").alias("n_indicators"), F.col("alpha").alias("cronbach_alpha"), "mean_spearman"))
+    return reduce(DataFrame.union, parts)
+
+
+def quiet_noise(df: DataFrame, periods: Sequence[str] = ("day", "night")) -> DataFrame:
+    """noise_<period>_db is 100 where noise_quiet_<period> holds; periods without both columns and null flags change nothing."""
+    for p in periods:
+        score, flag = f"noise_{p}_db", f"noise_quiet_{p}"
+        if score in df.columns and flag in df.columns:
+            df = df.withColumn(score, F.when(F.col(flag), 100.0).otherwise(F.col(score)))
+    return df
+
+
 def weighted_quantile(df: DataFrame, value: str, weight: str, q: float, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, q): linear interpolation of the value at (cumulative weight - weight / 2) / total, ends held."""
     rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brindle.functions import fixed
 from brindle.functions import scalars as S
 
 
@@ -47,36 +48,39 @@ def radius_pairs(df: DataFrame, id_col: str, radius: float, x: str = "east", y:
     return radius_join(rows, rows, radius, x, y).where("id < r_id").select(F.col("id").alias("left_id"), F.col("r_id").alias("right_id"))
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, cell: float, x: str = "east", y: str = "north", exclude_self: bool = False, condition: Column | None = None, rounds: int = 24) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, cell: float, x: str = "east", y: str = "north", exclude_self: bool = False, condition: Column | None = None) -> DataFrame:
     """left_id, right's columns with the prefix r_, distance and rank 1..k; ties by right_id.
 
     Each round joins the open rows with the right rows within a radius, closes those that found k,
-    and triples the radius for the rest. A right row within the radius can't be missed, so k found
-    are the k nearest. The first radius holds some 2 k rows at the mean density (at most `cell`
-    where nothing else is known); rows with fewer than k partners in all keep what there is.
+    and triples the radius for the rest, until it spans all rows. A right row within the radius can't
+    be missed, so k found are the k nearest. The first radius holds some 2 k rows at the mean density
+    of the area, or of the line if the rows lie on one; rows with fewer than k partners in all keep
+    what there is.
     """
     open_, done = left.where(F.col(x).isNotNull() & F.col(y).isNotNull()), []
     total = right.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ends = (F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count("*").alias("n"))
     r, l = total.agg(*ends).first(), open_.agg(*ends).first()
     if not r["n"] or not l["n"]:
-        rounds, radius, reach = 1, float(cell), float(cell)
+        radius = reach = float(cell)
     else:
         width, height = r["x1"] - r["x0"], r["y1"] - r["y0"]
-        radius = max((2.0 * (k + 1) * width * height / (3.14159 * r["n"])) ** 0.5, 1e-9) or float(cell)
+        area = (2.0 * (k + 1) * width * height / (3.14159 * r["n"])) ** 0.5
+        line = (k + 1) * max(width, height) / r["n"]
+        radius = max(area, line) or float(cell)
         # no two rows are farther apart
         reach = (max(r["x1"], l["x1"]) - min(r["x0"], l["x0"])) + (max(r["y1"], l["y1"]) - min(r["y0"], l["y0"])) + radius
         if r["n"] <= k + exclude_self:
             radius = reach  # all are needed
     keep = Window.partitionBy(left_id).orderBy("distance", f"r_{right_id}")
-    for n in range(rounds):
+    while True:
         found = radius_join(open_, total, radius, x, y)
         if exclude_self:
             found = found.where(F.col(left_id) != F.col(f"r_{right_id}"))
         if condition is not None:
             found = found.where(condition)
         found = found.withColumn("rank", F.row_number().over(keep)).where(F.col("rank") <= k)
-        if n == rounds - 1 or radius >= reach:
+        if radius >= reach:
             done.append(found)
             break
         found = found.persist()
@@ -198,6 +202,25 @@ def accessibility(points: DataFrame, amenities: DataFrame, point_id: str, weight
     return out.select(point_id, *scores, (100 * every / total).alias("acc_total"))
 
 
+def transit_indicators(points: DataFrame, classes: DataFrame, stops: DataFrame, point_id: str, stop_id: str, cell: float = 2000.0) -> DataFrame:
+    """(point_id, transit_class, stop_distance): the best class whose polygon holds the point (0 outside all), the nearest stop of category 1 to 5.
+
+    classes: class (A to D) and rings; stops: stop_id, category, east, north. Both are null without
+    coordinates, the distance also without stops.
+    """
+    table = F.create_map(*(x for c, v in fixed.TRANSIT_SCORE.items() for x in (F.lit(c), F.lit(v))))
+    # the smallest name wins a tie, so names start with what the best class lacks
+    best = max(fixed.TRANSIT_SCORE.values())
+    scored = classes.withColumn("__s", F.try_element_at(table, F.col("class"))).where("__s is not null")
+    named = scored.select(F.concat(F.lpad((best - F.col("__s")).cast("string"), 3, "0"), F.lit("|"), F.sha2(F.to_json("rings"), 256)).alias("__u"), "rings").distinct()
+    at = locate(points, named, point_id, "__u", max_snap=0.0, cell=cell).select(point_id, (best - F.substring("__u", 1, 3).cast("int")).alias("__in"))
+    used = stops.where(F.col("category").between(1, 5)).select(stop_id, "east", "north")
+    near = knn_join(points.select(point_id, "east", "north"), used, 1, point_id, stop_id, cell).select(point_id, F.col("distance").alias("stop_distance"))
+    there = F.col("east").isNotNull() & F.col("north").isNotNull()
+    out = points.select(point_id, there.alias("__t")).join(at, point_id, "left").join(near, point_id, "left")
+    return out.select(point_id, F.when(F.col("__t"), F.coalesce("__in", F.lit(0))).alias("transit_class"), "stop_distance")
+
+
 def green_share(points: DataFrame, landuse: DataFrame, point_id: str, radius: float = 300.0, classes: Sequence[int] = (5, 10, 11, 12)) -> DataFrame:
     """Share of green cells among land-use cells within the radius; null if there is none."""
     near = radius_join(points.select(point_id, "east", "north"), landuse.select("class", "east", "north"), radius)

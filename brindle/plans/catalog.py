@@ -198,14 +198,9 @@ def orphan_anti(t, spark):
     return source.orphans(t("orders").withColumnRenamed("o_custkey", "c_custkey"), t("customer"), "c_custkey").select("c_custkey", "c_name")
 
 
-@query("""with e as (select o_orderkey, o_custkey, o_orderdate >= timestamp '1999-07-01 00:00:00' as late from orders where o_custkey % 7 <> 0), s as (select distinct o_custkey from e where not late)
+@query("""with e as (select o_orderkey, o_custkey, o_orderdate >= timestamp '1999-07-01 00:00:00' as late from orders), s as (select distinct o_custkey from e where not late)
     select o_orderkey, 'pre' as period from e where not late union all select o_orderkey, 'post' from e where late and o_custkey not in (select o_custkey from s)""")
 def temporal_split(t, spark):
-    return splits.temporal_split(t("orders").where("o_custkey % 7 <> 0"), "o_orderdate", "1999-06-30", "o_custkey").select("o_orderkey", "period")
-
-
-@query()
-def temporal_split_whole(t, spark):
     return splits.temporal_split(t("orders"), "o_orderdate", "1999-06-30", "o_custkey").select("o_orderkey", "period")
 
 
@@ -245,13 +240,12 @@ def nearest_within(t, spark):
     return rounded(spatial.nearest_within(c, points(t), "cid", "id", 25.0), "distance")
 
 
-@query(f"""with p as ({_POINTS}) select id, case when floor(east / 250) = 3 and floor(north / 250) = 3 then null else cast(floor(east / 250) * 4 + floor(north / 250) as bigint) end as unit from p where east % 250 <> 0 and north % 250 <> 0""")
+@query(f"""with p as ({_POINTS}) select id, case when floor((east + 0.5) / 250) = 3 and floor((north + 0.5) / 250) = 3 then null else cast(floor((east + 0.5) / 250) * 4 + floor((north + 0.5) / 250) as bigint) end as unit from p""")
 def point_in_polygon(t, spark):
     cells = spark.range(15).select(F.col("id").alias("unit"), F.floor(F.col("id") / 4).alias("i"), (F.col("id") % 4).alias("j"))
-    corner = lambda a, b: F.struct(((F.col("i") + a) * 250.0).alias("x"), ((F.col("j") + b) * 250.0).alias("y"))
+    corner = lambda a, b: F.struct(((F.col("i") + a) * 250.0 - 0.5).alias("x"), ((F.col("j") + b) * 250.0 - 0.5).alias("y"))
     polygons = cells.select("unit", F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).alias("rings"))
-    p = points(t).where("east % 250 <> 0 and north % 250 <> 0")
-    return spatial.locate(p, polygons, "id", "unit", max_snap=0.0, cell=250.0).select("id", "unit")
+    return spatial.locate(points(t), polygons, "id", "unit", max_snap=0.0, cell=250.0).select("id", "unit")
 
 
 @query(f"""with p as ({_POINTS}), a as (select c_custkey as aid, case when c_custkey % 4 = 0 then 'market' else 'food' end as category, cast(c_custkey * 31 % 1000 as double) as east, cast(c_custkey * 17 % 1000 as double) as north from customer),
@@ -273,19 +267,12 @@ def green_share(t, spark):
     return rounded(spatial.green_share(points(t), land, "id", 50.0), "green_share")
 
 
-@query(f"""with p as ({_POINTS}), g as (select cast(p_partkey % 100 as bigint) as col, cast(p_partkey * 7 % 100 as bigint) as row, max(p_retailprice) as value from part where p_partkey % 3 = 0 group by 1, 2),
+@query(f"""with p as ({_POINTS}), g as (select cast(p_partkey % 100 as bigint) as col, cast(p_partkey * 7 % 100 as bigint) as row, max(p_retailprice) as value from part group by 1, 2),
     w as (select unnest([0.0, 10.0, 20.0, 50.0]) as h),
     f as (select p.id, h, max(value) as level from p cross join w join g on col between floor((east - h) / 10) and floor((east + h) / 10) and row between floor((1000 - north - h) / 10) and floor((1000 - north + h) / 10) group by p.id, h),
     b as (select id, min(h) as h, arg_min(level, h) as level from f group by id)
     select p.id, b.level, case when b.h = 0 then 'point' when b.h <= 20 then 'facade' when b.h is not null then 'fallback' else 'quiet' end as source from p left join b on p.id = b.id""")
 def noise_levels(t, spark):
-    k = F.col("p_partkey")
-    raster = t("part").where("p_partkey % 3 = 0").groupBy((k % 100).alias("col"), (k * 7 % 100).alias("row")).agg(F.max("p_retailprice").alias("value"))
-    return spatial.noise_levels(points(t), raster, "id", (0.0, 10.0, 20.0, 50.0), cell=10.0, north_edge=1000.0)
-
-
-@query()
-def noise_levels_whole(t, spark):
     k = F.col("p_partkey")
     raster = t("part").groupBy((k % 100).alias("col"), (k * 7 % 100).alias("row")).agg(F.max("p_retailprice").alias("value"))
     return spatial.noise_levels(points(t), raster, "id", (0.0, 10.0, 20.0, 50.0), cell=10.0, north_edge=1000.0)
@@ -423,21 +410,13 @@ def weighted_quantile(t, spark):
 
 # --- encoding, splits ---
 
-_TE = """with {LISTINGS}, y as (select *, ln(price) as y, canton || '/' || district_id || '/' || municipality_id as k2, canton || '/' || district_id as k1 from listings where part_id % 3 <> 0), g as (select avg(y) as m from y),
+_TE = """with {LISTINGS}, y as (select *, ln(price) as y, canton || '/' || district_id || '/' || municipality_id as k2, canton || '/' || district_id as k1 from listings), g as (select avg(y) as m from y),
     e0 as (select canton as k, (sum(y) + 20 * m) / (count(*) + 20) as e from y, g group by canton, m), e1 as (select k1 as k, (sum(y) + 20 * e) / (count(*) + 20) as e from y join e0 on canton = k group by k1, e),
     e2 as (select k2 as k, (sum(y) + 20 * e) / (count(*) + 20) as e from y join e1 on k1 = k group by k2, e)"""
 
 
 @query(_TE + " select e2.k, round(e2.e + 1e-9, 6) as te from e2")
 def target_encode_full(t, spark):
-    rows = listings(t).where("part_id % 3 <> 0").withColumn("y", F.ln("price"))
-    k0, k1, k2 = S.nested_keys("canton", "district_id", "municipality_id")
-    rows = rows.withColumns({"k0": k0, "k1": k1, "k2": k2})
-    return robust.target_encode(rows, rows.select("k0", "k1", "k2").distinct(), ["k0", "k1", "k2"], "y").select(F.col("k2").alias("k"), r("te_k2").alias("te"))
-
-
-@query()
-def target_encode_whole(t, spark):
     rows = listings(t).withColumn("y", F.ln("price"))
     k0, k1, k2 = S.nested_keys("canton", "district_id", "municipality_id")
     rows = rows.withColumns({"k0": k0, "k1": k1, "k2": k2})
@@ -725,22 +704,74 @@ def extraction_eval(t, spark):
     return rounded(metrics.extraction_scores(pred, gold, "doc_id", ["lang"]).drop("f1", "accuracy"), "precision", "recall")
 
 
+@query(f"""with {_SCORES}, s as (select id, 'a|b|c' as x, a, b, c from n), k as (select b, c, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb, rank() over (order by c) + (count(*) over (partition by c) - 1) / 2.0 as rc from s)
+    select 'x' as dimension, cast(1 as bigint) as n_indicators, cast(null as double) as cronbach_alpha, cast(null as double) as mean_spearman
+    union all select 'y', 2, (select {R('2 * (1 - (var_samp(b) + var_samp(c)) / var_samp(b + c))')} from k), (select {R('corr(rb, rc)')} from k)""")
+def dimension_consistency(t, spark):
+    out = composite.dimension_consistency(composite.minmax(indicators(t), _SPEC), _SPEC)
+    return rounded(out, "cronbach_alpha", "mean_spearman")
+
+
+@query("""select c_custkey as id, case when c_custkey % 3 = 0 then 100.0 else c_acctbal end as noise_day_db, case when c_custkey % 4 = 1 and c_custkey % 8 <> 5 then 100.0 when c_custkey % 5 > 0 then cast(c_nationkey as double) end as noise_night_db from customer""")
+def quiet_noise(t, spark):
+    k = F.col("c_custkey")
+    rows = t("customer").select(
+        k.alias("id"), F.col("c_acctbal").alias("noise_day_db"), F.when(k % 5 > 0, F.col("c_nationkey").cast("double")).alias("noise_night_db"),
+        (k % 3 == 0).alias("noise_quiet_day"), F.when(k % 4 == 1, k % 8 != 5).alias("noise_quiet_night"),
+    )
+    return composite.quiet_noise(rows).drop("noise_quiet_day", "noise_quiet_night")
+
+
+@query("""with k as (select o_custkey, o_orderpriority, arg_max(o_totalprice, o_orderkey) as v, max(o_orderkey) as y from orders where o_orderpriority in ('1-URGENT', '5-LOW') group by 1, 2)
+    select o_custkey as unit, max(case when o_orderpriority = '1-URGENT' then v end) as "1-URGENT", max(case when o_orderpriority = '5-LOW' then v end) as "5-LOW",
+        max(case when o_orderpriority = '1-URGENT' then y end) as "1-URGENT_year", max(case when o_orderpriority = '5-LOW' then y end) as "5-LOW_year" from k group by 1""")
+def latest_pivot(t, spark):
+    rows = t("orders").select(F.col("o_custkey").alias("unit"), F.col("o_orderpriority").alias("variable"), F.col("o_orderkey").alias("year"), F.col("o_totalprice").alias("value"))
+    return source.latest_wide(rows, "unit", "variable", "value", "year", ["1-URGENT", "5-LOW"])
+
+
+@query("""select p_partkey as id, cast(p_size as double) as area, cast(p_partkey % 19 as double) as rooms, case when p_size < 10 or p_size > 500 then 'area' when p_partkey % 19 < 1 or p_partkey % 19 > 15 then 'rooms' end as outside from part""")
+def apartment_domain(t, spark):
+    rows = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("area"), (F.col("p_partkey") % 19).cast("double").alias("rooms"))
+    return rows.withColumn("outside", clean.outside_domain("area", "rooms"))
+
+
+@query(f"""with p as ({_POINTS}), k as (select id, cast(floor((east + 0.5) / 250) as int) as i, cast(floor((north + 0.5) / 250) as int) as j, east, north from p),
+    s as (select c_custkey as stop, cast(c_custkey * 31 % 1000 as double) as east, cast(c_custkey * 17 % 1000 as double) as north from customer where c_custkey % 9 between 1 and 5),
+    d as (select k.id, min(sqrt((k.east - s.east) ** 2 + (k.north - s.north) ** 2)) as d from k, s group by 1)
+    select k.id, cast(case when i >= 2 and j >= 2 then 3 when i >= 1 then 1 else 0 end as int) as transit_class, {R('d')} as stop_distance from k left join d using (id)""")
+def transit_indicators(t, spark):
+    def box(name, x0, y0, x1, y1):
+        return F.struct(F.lit(name).alias("class"), F.array(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))).alias("rings"))
+
+    classes = spark.range(1).select(F.inline(F.array(box("D", 249.5, -0.5, 1100.0, 1100.0), box("B", 499.5, 499.5, 1100.0, 1100.0), box("C", 499.5, 499.5, 1100.0, 1100.0))))
+    k = F.col("c_custkey")
+    stops = t("customer").select(k.alias("stop"), (k % 9).alias("category"), (k * 31 % 1000).cast("double").alias("east"), (k * 17 % 1000).cast("double").alias("north"))
+    return rounded(spatial.transit_indicators(points(t), classes, stops, "id", "stop", cell=250.0), "stop_distance")
+
+
 # --- inference ---
 
 
-@query("""with p as (select p_partkey, case when p_partkey % 10 > 0 then (p_partkey * 7919 % 1000 + 1) / 100000.0 end as p from part where p_partkey < 200), s as (select *, (count(*) over () - row_number() over (order by p, p_partkey) + 1) * p as s from p where p is not null), m as (select p_partkey, least(1, max(s) over (order by p, p_partkey)) as h from s)
-    select p.p_partkey, round(h + 1e-12, 9) as p_holm from p left join m on p.p_partkey = m.p_partkey""")
-def holm(t, spark):
-    k = F.col("p_partkey")
-    rows = t("part").where("p_partkey < 200").select("p_partkey", F.when(k % 10 > 0, (k * 7919 % 1000 + 1) / 100000.0).alias("p"))
-    return metrics.holm(rows, "p").select("p_partkey", F.round(F.col("p_holm") + 1e-12, 9).alias("p_holm"))
+@query("""with d as (select o_orderpriority || '/' || o_custkey as g, avg(abs(o_totalprice - 150000) - abs(o_totalprice - 140000 - o_orderkey % 7)) as d from orders group by 1), r as (select round(d, 6) as d from d where round(d, 6) <> 0),
+    k as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r, count(*) over (partition by abs(d)) as t from r), s as (select count(*) as n, sum(case when d > 0 then r else 0 end) as w_plus, sum(case when d < 0 then r else 0 end) as w_minus, sum(t * t - 1.0) as ties from k)
+    select n, w_plus, w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24), 8) as z from s""")
+def wilcoxon(t, spark):
+    from brindle.operators import inference
 
+    rows = t("orders").select(
+        F.concat("o_orderpriority", F.lit("/"), F.col("o_custkey").cast("string")).alias("g"), F.col("o_totalprice").alias("y"),
+        F.lit(150000.0).alias("a"), (140000.0 + F.col("o_orderkey") % 7).alias("b"),
+    )
+    return inference.wilcoxon(rows, "y", "a", "b", "g", digits=6).select("n", "w_plus", "w_minus", F.round("z", 8).alias("z"))
 
-@query()
-def holm_whole(t, spark):
+
+@query("""with p as (select p_partkey, case when p_partkey % 10 > 0 then (p_partkey * 7919 % 1000 + 1) / 100000.0 end as p from part), s as (select *, (count(*) over () - row_number() over (order by p, p_partkey) + 1) * p as s from p where p is not null), m as (select p_partkey, least(1, max(s) over (order by p, p_partkey)) as h from s)
+    select p.p_partkey, round(h + 1e-12, 9) as p_holm from p left join m on p.p_partkey = m.p_partkey""")
+def holm(t, spark):
     k = F.col("p_partkey")
     rows = t("part").select("p_partkey", F.when(k % 10 > 0, (k * 7919 % 1000 + 1) / 100000.0).alias("p"))
-    return metrics.holm(rows, "p").select("p_partkey", "p", "p_holm")
+    return metrics.holm(rows, "p").select("p_partkey", F.round(F.col("p_holm") + 1e-12, 9).alias("p_holm"))
 
 
 @query()
@@ -748,14 +779,14 @@ def cluster_bootstrap(t, spark):
     from brindle.operators import inference
 
     p = predictions(t)
-    return inference.bootstrap_ci(p, F.abs(F.col("p") - F.col("y")), "g", draws=500)
+    return inference.bootstrap_ci(p, F.abs(F.col("p") - F.col("y")), "g")
 
 
 @query()
 def paired_bootstrap(t, spark):
     from brindle.operators import inference
 
-    return inference.paired_bootstrap(predictions(t), "y", "p", "lo", "id", draws=300)
+    return inference.paired_bootstrap(predictions(t), "y", "p", "lo", "id")
 
 
 @query(f"""with p as ({_POINTS}), d as (select a.id as i, b.id as j, row_number() over (partition by a.id order by sqrt((a.east - b.east) ** 2 + (a.north - b.north) ** 2), b.id) as k from p a join p b on a.id <> b.id),
@@ -771,7 +802,7 @@ def moran_i(t, spark):
 def power_grid(t, spark):
     from brindle.operators import inference
 
-    return inference.power_grid(predictions(t).select((F.col("p") - F.col("y")).alias("e")), "e", [500, 1000], [0.02, 0.05, 0.1], sims=100)
+    return inference.power_grid(predictions(t).select((F.col("p") - F.col("y")).alias("e")), "e", [500, 1000], [0.02, 0.05, 0.1])
 
 
 # --- streaming, logs ---
@@ -853,4 +884,4 @@ def mixed_effects(t, spark):
 
 @query()
 def weight_sensitivity(t, spark):
-    return composite.weight_sensitivity(composite.minmax(indicators(t), _SPEC), ["a", "b", "c"], "id", draws=20)
+    return composite.weight_sensitivity(composite.minmax(indicators(t), _SPEC), ["a", "b", "c"], "id")

@@ -126,3 +126,10 @@ def sdmx_latest(table: DataFrame, filters: dict[str, str], key: str, value: str,
 def latest_by(table: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """(keys, value, order) of the latest non-null value of each key."""
     return table.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max_by(value, order).alias(value), F.max(F.when(F.col(value).isNotNull(), F.col(order))).alias(order))
+
+
+def latest_wide(table: DataFrame, key: str, variable: str, value: str, year: str, variables: list[str]) -> DataFrame:
+    """A row a key: each variable's latest non-null value, and its year as <variable>_year; null where there is none."""
+    rows = latest_by(table.where(F.col(variable).isin(variables)), [key, variable], value, year)
+    at = lambda v, c: F.max(F.when(F.col(variable) == v, F.col(c)))
+    return rows.groupBy(key).agg(*(at(v, value).alias(v) for v in variables), *(at(v, year).alias(f"{v}_year") for v in variables))

@@ -58,21 +58,21 @@ def test_whole_tables_match_brute_force(spark):
     expected, top = {}, 0.0
     for n, k in enumerate(sorted(p, key=lambda k: (p[k], k))):
         expected[k] = top = max(top, min(1.0, (len(p) - n) * p[k]))
-    got = run("holm_whole")
+    got = run("holm")
     assert len(got) == len(part) and {k for k, x in zip(got.p_partkey, got.p_holm) if x == x} == set(p)
     assert all(math.isclose(x, expected[k]) for k, x in zip(got.p_partkey, got.p_holm) if k in expected)
 
     late = orders.o_orderdate.astype("datetime64[ns]") >= "1999-07-01"
     early = set(orders.o_custkey[~late])
     expected = {o: "post" if x else "pre" for o, c, x in zip(orders.o_orderkey, orders.o_custkey, late) if not x or c not in early}
-    got = run("temporal_split_whole")
+    got = run("temporal_split")
     assert len(got) == len(expected) and dict(zip(got.o_orderkey, got.period)) == expected
 
     raster = {}
     for k, v in zip(part.p_partkey, part.p_retailprice):
         at = (k % 100, k * 7 % 100)
         raster[at] = max(raster.get(at, v), v)
-    got = {i: (level, source) for i, level, source in run("noise_levels_whole")[["id", "level", "source"]].itertuples(index=False)}
+    got = {i: (level, source) for i, level, source in run("noise_levels")[["id", "level", "source"]].itertuples(index=False)}
     assert set(got) == set(supplier.s_suppkey)
     for i in supplier.s_suppkey:
         east, north = i * 7919 % 1000, i * 104729 % 1000
@@ -94,5 +94,5 @@ def test_whole_tables_match_brute_force(spark):
             key = key if isinstance(key, tuple) else (key,)
             sums[key] = (y.sum() + 20 * sums.get(key[:-1], mean)) / (len(y) + 20)
     expected = {"/".join(map(str, k)): v for k, v in sums.items() if len(k) == 3}
-    got = run("target_encode_whole")
+    got = run("target_encode_full")
     assert set(got.k) == set(expected) and all(abs(expected[k] - x) < 2e-6 for k, x in zip(got.k, got.te))

@@ -277,3 +277,54 @@ def test_order_matches_numpy(spark, monkeypatch, rows_a_step):
     assert [(str(r["__v"]), r["__before"], r["__w"]) for r in order.positions(odd, F.col("v")).orderBy("__before").collect()] == [("-inf", 0, 1), ("0.0", 1, 2), ("inf", 3, 1), ("nan", 4, 1)]
     none = order.quantiles(df.where("g = 'empty'"), F.col("v"), [0.5]).collect()
     assert len(none) == 1 and none[0].q is None
+
+
+def test_wilcoxon_exact_against_all_signs(spark):
+    """Eleven distinct differences and a zero, against all signs; with ties the normal takes over; no difference at all."""
+    from itertools import product
+
+    from brindle.operators import inference
+
+    d = [3.0, -1.0, 4.0, -1.5, 5.0, 9.0, -2.0, 6.0, 5.5, 3.5, 8.0, 0.0]
+    df = spark.createDataFrame([(i, 0.0, 10.0 + x, 10.0) for i, x in enumerate(d)], "g int, y double, a double, b double")
+    got = one(inference.wilcoxon(df, "y", "a", "b", "g"))
+    used = sorted((x for x in d if x), key=abs)
+    low = sum(i + 1 for i, x in enumerate(used) if x < 0)
+    sums = [sum((i + 1) * s for i, s in enumerate(signs)) for signs in product((0, 1), repeat=len(used))]
+    assert (got["n"], got["w_plus"], got["w_minus"]) == (11, 66 - low, low)
+    assert abs(got["p"] - min(1, 2 * sum(s <= low for s in sums) / len(sums))) < 1e-12
+    assert one(inference.wilcoxon(df.withColumn("a", F.col("b") + 1), "y", "a", "b", "g"))["w_plus"] == 78.0
+    assert one(inference.wilcoxon(df.withColumn("a", F.col("b")), "y", "a", "b", "g"))["p"] == 1.0
+
+
+def test_knn_on_a_line_and_in_clusters(spark):
+    """Rows on one northing, a far pair and copies of one place find their nearest whatever the density."""
+    line = [(i, 1000.0 * i, 5.0) for i in range(30)]
+    town = [(100 + i, 1e7 + i % 5, 1e7 + i // 5) for i in range(25)] + [(200, 0.0, 0.0), (201, 5e6, 0.0)]
+    for rows in (line, town, [(i, 1.0, 1.0) for i in range(4)]):
+        df = spark.createDataFrame(rows, "id long, east double, north double")
+        got = {}
+        for r in spatial.knn_join(df, df, 2, "id", "id", 100.0, exclude_self=True).collect():
+            got.setdefault(r.id, []).append((r["rank"], r.r_id))
+        for i, x, y in rows:
+            near = sorted((((x - u) ** 2 + (y - v) ** 2) ** 0.5, j) for j, u, v in rows if j != i)[:2]
+            assert [j for _, j in sorted(got[i])] == [j for _, j in near]
+
+
+def test_no_order_in_one_task(spark):
+    """No exchange of data rows to a single partition in the operators that need a whole order."""
+    df = spark.range(5000).select("id", (F.col("id") * 7 % 997).cast("double").alias("a"), (F.col("id") * 13 % 991).cast("double").alias("b"))
+    plans = [composite.value_score(df, "a", "b"), composite.weighted_quantile(df, "a", "b", 0.3), conformal.quantile(df, F.col("a"), 0.2), robust.winsor_bounds(df, ["a", "b"])]
+    for p in plans:
+        text = p._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in text
+        above = [text.splitlines()[n + 1] for n, row in enumerate(text.splitlines()) if "SinglePartition" in row]
+        assert all("Aggregate" in row for row in above)  # partial sums only
+
+
+def test_latest_wide_and_domain(spark):
+    rows = spark.createDataFrame([(1, "x", 2020, 1.0), (1, "x", 2021, None), (1, "y", 2019, 2.0), (1, "z", 2019, 9.0), (2, "y", 2018, 3.0)], "k int, v string, year int, value double")
+    got = {r.k: (r.x, r.x_year, r.y, r.y_year) for r in listings.latest_wide(rows, "k", "v", "value", "year", ["x", "y"]).collect()}
+    assert got == {1: (1.0, 2020, 2.0, 2019), 2: (None, None, 3.0, 2018)}
+    flats = spark.createDataFrame([(10.0, 1.0), (9.9, 1.0), (50.0, 15.5), (None, 3.0), (float("nan"), 3.0)], "a double, r double")
+    assert [r[0] for r in flats.select(clean.outside_domain("a", "r")).collect()] == [None, "area", "rooms", "area", "area"]
