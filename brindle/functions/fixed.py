@@ -131,10 +131,60 @@ CONTACT_CUE = (
 )
 ANY_NUMBER = r"(?<![\d'’.,])(?:\d{1,3}(?:['’ .,]\d{3})+(?!\d)|\d+)(?:[.,]\d{1,2})?(?!\d)"
 
+# --- fixed values: address parts ---
+COUNTRIES = ("schweiz", "suisse", "svizzera", "switzerland", "ch")
+COUNTRY_PREFIX = r"(?:CH\s*-\s*)?"
+HOUSE_NUMBER = r"\d{1,4}\s?[a-z]?(?:\s?[-/]\s?\d{1,4}\s?[a-z]?)*(?:\s?(?:bis|ter))?"
+
 # --- fixed values: street abbreviations, on normalised text ---
 STREET_WORDS = {r"str\b": "strasse", r"\brte\b": "route", r"\bave?\b": "avenue", r"\bch\b": "chemin", r"\bbd\b": "boulevard", r"\bpl\b": "place"}
 
 # --- fixed values: attributes of a text, on lower-cased text ---
+ROOM_COUNT = (
+    r"(?<![\d.,'’/])(?P<num>\d{1,2}(?:[.,][05])?)(?P<half>\s?(?:½|1/2))?\s*-?\s*"
+    r"(?:zimmer|zi\b\.?|pi[èe]ces?|pces?\b|locali|locale|vani|rooms?)"
+)
+STUDIO = r"\b(?:studio|monolocale|einzimmerwohnung)\b"
+AREA = (
+    r"(?<![\d.,'’])(?P<num>\d{2,3}(?:[.,]\d{1,2})?)\s*"
+    r"(?:m2|m²|m\s2\b|qm|sqm|mq|quadratmeter|mètres carrés|metri quadrati)"
+)
+LIVING_AREA = r"wohnfl|fl[äa]che|surface|superficie|gr[öo](?:ss|ß)e|living"
+OTHER_AREA = (
+    r"garten|terrass|balkon|sitzplatz|grundst|keller|estrich|hobby|bastel|lager|büro|atelier|"
+    r"jardin|balcon|cave|terrain|parcelle|giardin|terrazz|cantina"
+)
+DWELLING = r"wohnung|whg|zimmer|appartement|pi[èe]ces|logement|appartamento|locali|alloggio|apartment"
+ORDINALS = {
+    "erste": 1, "zweite": 2, "dritte": 3, "vierte": 4, "fünfte": 5, "premier": 1, "première": 1, "deuxième": 2,
+    "troisième": 3, "quatrième": 4, "cinquième": 5, "primo": 1, "secondo": 2, "terzo": 3, "quarto": 4, "quinto": 5,
+}
+FLOOR_NUMBERS = (
+    r"(?<![\d.])(?P<n>\d{1,2})\.\s?(?:og|obergescho(?:ss|ß)|stock(?:werk)?\b|etage)",
+    r"(?<![\d.])(?P<n>\d{1,2})\s?(?:e|er|ère|ème|eme)\s+[ée]tage",
+    r"(?<![\d.])(?P<n>\d{1,2})\s?[°º]?\s?piano\b",
+)
+FLOOR_ORDINAL = rf"(?<![a-zäöüéè])(?P<n>{'|'.join(ORDINALS)})[nmr]?\s+(?:stock|obergescho|[ée]tage|piano)"
+GROUND_FLOOR = r"erdgescho(?:ss|ß)|\beg\b|parterre|rez-de-chauss[ée]e|piano terr[ae]|pianterreno"
+CLAUSE_END = r"[,;:\n!?()]|\.\s"
+RENOVATED = r"(?:r[ée]nov\w*|\w*saniert|sanierung|moderni[sz]iert|ristruttur\w*|rinnov\w*|umgebaut)"
+NOT_BUILT = r"(?!baujahr|erbaut|gebaut|construit|construction|costruit|built)"
+RENOVATED_IN = rf"{RENOVATED}(?:{NOT_BUILT}[^.\n\d]){{0,30}}?(?P<y>(?:19|20)\d{{2}})\b"
+IN_RENOVATED = rf"\b(?P<y>(?:19|20)\d{{2}})[^.,;\n\d]{{0,15}}?{RENOVATED}"
+NEGATION = r"\b(?:kein\w*|nicht|ohne|pas|sans|non|aucun\w*|nessun\w*|senza|niente|no|not|without)\b"
+NEGATION_END = (
+    r"[,;.:!?()\n]|\b(?:aber|jedoch|sondern|nur|mit|dafür|mais|avec|seulement|ma|con|solo|but|"
+    r"with|only)\b"
+)
+DENIED_AFTER = r"\s*(?:[:?]\s*(?:nein|non|no|keine?)\b|nicht vorhanden|pas disponible|non disponibile)"
+SHARED_ROOM = (
+    r"\bwg[- ]?zimmer|zimmer in (?:einer |unserer |der )?(?:\d+er[- ]?)?(?:wg|wohngemeinschaft)\b"
+    r"|zimmer (?:in|zur) untermiete|untermiete (?:eines|für ein|von einem) zimmer"
+    r"|mitbewohner(?:in)? gesucht|such\w* (?:eine[nr]? )?(?:neue[nr]? )?mitbewohner"
+    r"|chambre (?:en|dans une?) colocation|colocataire recherch|cherch\w* (?:une? )?colocataire"
+    r"|(?:camera|stanza) in (?:appartamento condiviso|condivisione)|cerc\w* (?:una? )?coinquilin"
+    r"|room in (?:a )?(?:shared flat|flatshare)|flatmate wanted"
+)
 ENUMS = {
     "view": (
         ("lake", KEYWORDS["lake_view"]),
@@ -144,7 +194,7 @@ ENUMS = {
     ),
     "parking": (("garage", KEYWORDS["garage"]), ("outdoor", KEYWORDS["parking"])),
     "rent_regime": (
-        ("shared_flat", r"\bwg[- ]?zimmer|mitbewohner(?:in)? gesucht|chambre (?:en|dans une?) colocation|room in (?:a )?(?:shared flat|flatshare)|flatmate wanted"),
+        ("shared_flat", SHARED_ROOM),
         ("cooperative", KEYWORDS["cooperative"]),
         ("cost_based_or_subsidised", KEYWORDS["subsidised"]),
     ),

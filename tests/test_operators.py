@@ -168,6 +168,70 @@ def test_addresses(spark):
     assert got == {1: (8044, "Gockhausen-Zürich", "Rütistrasse", "1"), 2: (8630, "Wetzikon", "Schellerstrasse", "17"), 3: (None, None, None, None)}
 
 
+def test_address_forms(spark):
+    cases = {
+        "Dorfweg 4b, CH-3012 Bern, Schweiz": (3012, "Bern", "Dorfweg", "4b"),  # the country goes
+        "Dorfweg **, Olten 4600": (4600, "Olten", "Dorfweg", None),  # a code behind the place, as nothing else has one
+        "Dorfweg 1234, 4600 Olten": (4600, "Olten", "Dorfweg", "1234"),
+        "Dorfweg 4 4600 Olten": (4600, "Olten", "Dorfweg", "4"),  # no comma
+        "4600, Olten, 7 Dorfweg": (4600, "Olten", "Dorfweg", "7"),
+        "Dorfweg, Dorfweg 9, Olten": (None, "Olten", "Dorfweg", "9"),  # the street again, with its number
+        "4600, Olten, Dorfweg 12, 12C": (4600, "Olten", "Dorfweg", "12C"),  # the part of its own wins
+        "4600, Olten, Dorfweg 12, Olten Süd": (4600, "Olten", "Dorfweg", "12"),
+        "Genève, genève": (None, "Genève", None, None),
+        "4600 Olten": (4600, "Olten", None, None),
+        "Olten": (None, "Olten", None, None),
+        "4600": (4600, None, None, None),
+        "*, ,": (None, None, None, None),
+    }
+    got = {r.id: tuple(r)[1:] for r in text.parse_address(spark.createDataFrame([(k, k) for k in cases], "id string, a string"), "id", "a").collect()}
+    assert got == cases
+
+
+def test_attributes_in_context(spark):
+    cases = [
+        ("Keller 20 m2, Wohnfläche 70 m2", "area_sqm", 70.0, "70 m2"),
+        ("Garten 300 m2", "area_sqm", None, None),
+        ("Wohnung mit grosser Terrasse 120 m2", "area_sqm", 120.0, "120 m2"),
+        ("Estrich im 4. Stock, Wohnung im 1. Stock", "floor", 1, "1. Stock"),
+        ("im dritten Stock", "floor", 3, "dritten Stock"),
+        ("2015 komplett saniert", "renovation_year", 2015, "2015 komplett saniert"),
+        ("saniert, Baujahr 1960", "renovation_year", None, None),
+        ("Monolocale arredato", "rooms", 1.0, "Monolocale"),
+        ("Aufzug: nein", "has_lift", False, "Aufzug: nein"),
+        ("ohne eigenen Balkon", "has_balcony_or_terrace", False, "ohne eigenen Balkon"),
+        ("ohne Keller, mit Balkon", "has_balcony_or_terrace", True, "Balkon"),
+        ("nicht weit weg vom Garten", "has_garden", True, "Garten"),  # four words on
+        ("keine Garage, aber Parkplatz", "parking", "outdoor", "Parkplatz"),
+        ("Zimmer in einer 4er-WG", "rent_regime", "shared_flat", "Zimmer in einer 4er-WG"),
+        ("ideal als WG", "rent_regime", None, None),
+        ("İ, 2.5 ZIMMER", "rooms", 2.5, "2.5 ZIMMER"),  # a letter whose lower case is longer
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id int, t string")
+    got = {r.id: r for r in text.attributes(df, "id", "t").collect()}
+    assert [(c[0], c[1], got[i][c[1]], got[i].evidence.get(c[1])) for i, c in enumerate(cases)] == cases
+
+
+def test_masking_by_cues(spark):
+    cases = {
+        "Miete ab Mai 2025: 1700": "Miete ab Mai 2025: [PRICE]",  # the year stays, its cue reaches past it
+        "Miete ab Mai 2025: Depot 2000": "Miete ab Mai 2025: Depot [PRICE]",  # a nearer cue comes first
+        "NK 150, Garage 120": "NK [PRICE], Garage [PRICE]",
+        "Miete für 3.5 Zimmer 1700": "Miete für 3.5 Zimmer [PRICE]",
+        "Miete 100 m2": "Miete 100 m2",
+        "Parkplatz in 4600 Olten": "Parkplatz in 4600 Olten",
+        "Miete auf Anfrage sofort. Haus 1700": "Miete auf Anfrage sofort. Haus 1700",  # another sentence
+        "Telefon 1700": "Telefon 1700",
+        "Fr. 10-12 Uhr": "Fr. 10-12 Uhr",
+        "Kontakt: Dr. Eva von Allmen, Herr P. Muster": "Kontakt: [NAME], Herr [NAME]",
+        "Miete " + "x" * 5000 + " 1700": "Miete " + "x" * 5000 + " 1700",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").withColumn("m", text.anonymize("t")).withColumn("again", text.anonymize("m"))
+    rows = df.collect()
+    assert {r.t: r.m for r in rows} == cases
+    assert all(r.m == r.again for r in rows)
+
+
 def test_price_leaks(spark):
     df = spark.createDataFrame([("für 1'850 zu haben", 1850.0), ("85 m2", 1850.0), (None, 1.0)], "t string, p double")
     assert [r[0] for r in df.select(text.price_leak("t", "p")).collect()] == [True, False, None]
