@@ -370,6 +370,41 @@ def test_line_dedup(spark):
     assert len(dedup_lines(many, similarity=1.0).first().text.split("\n")) == 500
 
 
+def test_line_candidates_with_a_small_vocabulary(spark, monkeypatch):
+    """Unrelated lines of few words hardly meet, and what told lines apart goes before they are compared."""
+    from brindle.llm import line_dedup
+    from brindle.llm.common import Scratch
+
+    rng = random.Random(4)
+    vocabulary = [f"w{k}x" for k in range(60)]
+    lines = [" ".join(rng.choices(vocabulary, k=20)) for _ in range(1500)]
+    lines += [" ".join(x if k != 7 else "other" for k, x in enumerate(line.split())) for line in lines[:700]]
+    seen, held, make, drop = {}, set(), Scratch.table, Scratch.drop
+
+    def table(self, df, name, *rest, **options):
+        out = make(self, df, name, *rest, **options)
+        held.add(name)
+        assert not (name.startswith(("met", "links", "more")) and "occurrences" in held)
+        seen[name] = out.count()
+        return out
+
+    def dropped(self, *names):
+        held.difference_update(names)
+        drop(self, *names)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    monkeypatch.setattr(Scratch, "drop", dropped)
+    df = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(df).where("n_removed > 0").collect()} == set(range(1500, 2200))
+    assert seen["asked"] + seen.get("open", 0) < 8000
+    # by slices too
+    monkeypatch.setattr(line_dedup, "SLICE", 500)
+    monkeypatch.setattr(line_dedup, "SMALL", 3)
+    seen.clear()
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(df).where("n_removed > 0").collect()} == set(range(1500, 2200))
+    assert {"links-1", "more-1"} & set(seen)
+
+
 def test_near_lines_are_found(spark):
     """Lines of 100 words with one changed go; unlike lines of a similar vocabulary stay."""
     from brindle.llm.line_dedup import dedup_lines
