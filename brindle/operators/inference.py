@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.order import positions
+from brindle.operators.order import even_quantiles, positions
 from brindle.operators.spatial import knn_join
 
 
@@ -99,9 +99,9 @@ def _signed_rank_p(n: int, w: float, ties: bool, z: float) -> float:
 def power_grid(errors: DataFrame, column: str, sizes: Sequence[int], effects: Sequence[float], sims: int = 500, alpha: float = 0.05, correlation: float = 0.87, seed: int = 42) -> DataFrame:
     """(n, effect, power): share of simulated paired comparisons that detect a relative effect; a cell of the grid a row of work.
 
-    The error distribution goes in as its 1001 quantiles, of fixed size whatever the table.
+    The error distribution goes in as its 1001 quantiles, of fixed size whatever the table; power is null without errors.
     """
-    q = errors.agg(F.percentile(F.abs(column), [k / 1000 for k in range(1001)]).alias("q"))
+    q = even_quantiles(errors, F.abs(column), 1000).select("q")
     grid = errors.sparkSession.createDataFrame([(int(n), float(e)) for n in sizes for e in effects], "n int, effect double")
     z_crit = _normal_quantile(1 - alpha / 2)
 
@@ -109,6 +109,9 @@ def power_grid(errors: DataFrame, column: str, sizes: Sequence[int], effects: Se
         for pdf in batches:
             power = []
             for n, effect, levels in zip(pdf["n"], pdf["effect"], pdf["q"]):
+                if levels is None:
+                    power.append(None)
+                    continue
                 rng = np.random.default_rng([seed, int(n), int(effect * 1e6)])
                 hits = 0
                 for _ in range(sims):

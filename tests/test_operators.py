@@ -1,5 +1,7 @@
 """Operators on small literal tables: nulls, ties, edges of intervals, empty input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -392,3 +394,17 @@ def test_latest_wide_and_domain(spark):
     assert got == {1: (1.0, 2020, 2.0, 2019), 2: (None, None, 3.0, 2018)}
     flats = spark.createDataFrame([(10.0, 1.0), (9.9, 1.0), (50.0, 15.5), (None, 3.0), (float("nan"), 3.0)], "a double, r double")
     assert [r[0] for r in flats.select(clean.outside_domain("a", "r")).collect()] == [None, "area", "rooms", "area", "area"]
+
+
+def test_power_grid_levels_come_by_runs(spark):
+    """The same quantiles as an exact percentile, without a buffer that holds the column; no errors, no power."""
+    from brindle.operators import inference, order
+
+    df = spark.range(5000).select(F.when(F.col("id") % 7 > 0, (F.col("id") * 7919 % 3001) / 10 - 100).alias("e"))
+    exact = df.agg(F.percentile(F.abs("e"), [k / 1000 for k in range(1001)]).alias("q")).first().q
+    found = order.even_quantiles(df, F.abs("e"), 1000).first()
+    assert found.n == df.where("e is not null").count() and found.q == exact
+    assert order.even_quantiles(df.limit(1), F.lit(3.0), 1000).first().q == [3.0] * 1001
+    grid = inference.power_grid(df, "e", [20], [0.1, 0.5], sims=5)
+    assert "percentile" not in grid._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.power for r in inference.power_grid(df.where("e > 1000"), "e", [20], [0.1], sims=5).collect()] == [None]
