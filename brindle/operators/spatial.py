@@ -6,6 +6,7 @@ All plan as equi-joins on grid cells with the exact distance as a filter; none c
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,14 +49,14 @@ def radius_pairs(df: DataFrame, id_col: str, radius: float, x: str = "east", y:
     return radius_join(rows, rows, radius, x, y).where("id < r_id").select(F.col("id").alias("left_id"), F.col("r_id").alias("right_id"))
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, cell: float, x: str = "east", y: str = "north", exclude_self: bool = False, condition: Column | None = None) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, cell: float, x: str = "east", y: str = "north", exclude_self: bool = False, condition: Column | None = None, within: float | None = None) -> DataFrame:
     """left_id, right's columns with the prefix r_, distance and rank 1..k; ties by right_id.
 
     Each round joins the open rows with the right rows within a radius, closes those that found k,
     and triples the radius for the rest, until it spans all rows. A right row within the radius can't
     be missed, so k found are the k nearest. The first radius holds some 2 k rows at the mean density
-    of the area, or of the line if the rows lie on one; rows with fewer than k partners in all keep
-    what there is.
+    of the area, or of the line if the rows lie on one; rows with fewer than k partners in all, or
+    in the distance `within`, keep what there is.
     """
     open_, done = left.where(F.col(x).isNotNull() & F.col(y).isNotNull()), []
     total = right.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -72,6 +73,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id:
         reach = (max(r["x1"], l["x1"]) - min(r["x0"], l["x0"])) + (max(r["y1"], l["y1"]) - min(r["y0"], l["y0"])) + radius
         if r["n"] <= k + exclude_self:
             radius = reach  # all are needed
+    if within is not None:
+        radius, reach = min(radius, within), min(reach, within)
     keep = Window.partitionBy(left_id).orderBy("distance", f"r_{right_id}")
     while True:
         found = radius_join(open_, total, radius, x, y)
@@ -89,7 +92,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id:
         open_ = open_.join(full, left_id, "left_anti").persist()
         if open_.isEmpty():
             break
-        radius *= 3
+        radius = radius * 3 if within is None else min(radius * 3, within)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -188,14 +191,23 @@ def accessibility(points: DataFrame, amenities: DataFrame, point_id: str, weight
     """acc_<category> and acc_total, 0 to 100: the n nearest amenities of a category count by weight and decay.
 
     A category's score is over the sum of its weights; the total weighs categories by these sums.
-    Points without any amenity in reach score 0.
+    Points without any amenity in reach score 0. Scores go by place: points of one place are scored
+    once, amenities of one place and category count as far as there are weights, and of the others
+    only the nearest places are joined.
     """
-    near = radius_join(points.select(point_id, "east", "north"), amenities.select("category", "amenity_id", "east", "north"), zero_at)
-    near = near.withColumn("rank", F.row_number().over(Window.partitionBy(point_id, "r_category").orderBy("distance", "r_amenity_id")))
-    table = F.create_map(*(x for c, w in weights.items() for x in (F.lit(c), F.array(*map(F.lit, map(float, w))))))
-    near = near.withColumn("w", F.try_element_at(F.try_element_at(table, F.col("r_category")), F.col("rank"))).where("w is not null")
-    raw = near.withColumn("s", F.col("w") * S.distance_decay("distance", full_until, zero_at)).groupBy(point_id).pivot("r_category", list(weights)).agg(F.sum("s"))
-    out = points.select(point_id).join(raw, point_id, "left")
+    at = lambda rows, c: rows.where(F.col("east").isNotNull() & F.col("north").isNotNull()).withColumn(c, F.struct("east", "north"))
+    places = at(points, "place").select("place", "east", "north").distinct().persist()
+    parts = []
+    for c, w in weights.items():
+        if not len(w):
+            continue
+        there = at(amenities.where(F.col("category") == c), "at").groupBy("at", "east", "north").agg(F.least(F.count("*"), F.lit(len(w))).cast("int").alias("n")).persist()
+        near = knn_join(places, there, len(w), "place", "at", zero_at, within=zero_at).select("place", "distance", F.explode(F.sequence(F.lit(1), F.col("r_n"))).alias("k"), "r_at")
+        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy("distance", "r_at", "k")))
+        s = F.try_element_at(F.array(*map(F.lit, map(float, w))), F.col("rank")) * S.distance_decay("distance", full_until, zero_at)
+        parts.append(near.where(F.col("rank") <= len(w)).select("place", F.lit(c).alias("category"), s.alias("s")))
+    raw = reduce(DataFrame.unionByName, parts).groupBy("place").pivot("category", list(weights)).agg(F.sum("s"))
+    out = points.select(point_id, F.when(F.col("east").isNotNull() & F.col("north").isNotNull(), F.struct("east", "north")).alias("place")).join(raw, "place", "left")
     total = sum(sum(w) for w in weights.values())
     scores = [(100 * F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) / sum(w)).alias(f"acc_{c}") for c, w in weights.items()]
     every = sum((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in weights), F.lit(0.0))

@@ -408,3 +408,30 @@ def test_power_grid_levels_come_by_runs(spark):
     grid = inference.power_grid(df, "e", [20], [0.1, 0.5], sims=5)
     assert "percentile" not in grid._jdf.queryExecution().optimizedPlan().toString()
     assert [r.power for r in inference.power_grid(df.where("e > 1000"), "e", [20], [0.1], sims=5).collect()] == [None]
+
+
+def test_accessibility_joins_places(spark, monkeypatch):
+    """Scores as by brute force; of crowded places and amenities few rows are joined."""
+    from math import cos, hypot, pi
+
+    rng = random.Random(8)
+    points = [(k, *rng.choice([(5.0, 5.0), (30.0, 40.0), (900.0, 0.0), (None, 3.0)])) for k in range(40)]
+    amenities = [(k, rng.choice("abz"), 10.0 * (k % 4), 20.0) for k in range(400)] + [(1000 + k, "a", rng.uniform(0, 90), rng.uniform(0, 90)) for k in range(300)]
+    weights, joined, join = {"a": [2.0, 1.0, 0.5], "b": [1.0]}, [], spatial.radius_join
+
+    def counted(*args):
+        out = join(*args)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "radius_join", counted)
+    p = spark.createDataFrame(points, "id long, east double, north double")
+    a = spark.createDataFrame(amenities, "amenity_id long, category string, east double, north double")
+    found = {r.id: (r.acc_a, r.acc_b, r.acc_total) for r in spatial.accessibility(p, a, "id", weights, 10.0, 60.0).collect()}
+    for k, x, y in points:
+        raw = {}
+        for c, w in weights.items():
+            d = sorted(hypot(x - e, y - n) for _, kind, e, n in amenities if kind == c) if x is not None else []
+            raw[c] = sum(v * 0.5 * (1 + cos(pi * max(0, min(1, (z - 10) / 50)))) for v, z in zip(w, d) if z <= 60)
+        assert found[k] == pytest.approx((100 * raw["a"] / 3.5, 100 * raw["b"], 100 * (raw["a"] + raw["b"]) / 4.5))
+    assert len(found) == 40 and sum(joined) < 1000
