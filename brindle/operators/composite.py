@@ -7,13 +7,19 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.operators.order import positions, quantiles
+from brindle.operators.order import positions, quantiles, settled
 from brindle.operators.robust import winsor_bounds
 
+POINTS = 1 << 21  # that a task ranks at a time
+GROUPS = 32  # of draws, if there are no more points than that
+BINS = 4096  # steps of an index's range that runs are made of
+SENT = 1 << 31  # bytes of points dealt out at a time, eight groups of draws at least
+
 
 @dataclass(frozen=True)
 class Indicator:
@@ -159,17 +165,109 @@ def rank_comparison(df: DataFrame, base: str, other: str, id_col: str) -> DataFr
 
 
 def weight_sensitivity(df: DataFrame, dims: Sequence[str], id_col: str, draws: int = 500, concentration: float = 10.0, seed: int = 42, base: Sequence[float] | None = None) -> DataFrame:
-    """(draw, spearman, mean_shift) of indices with Dirichlet weights against the base weights."""
-    k = len(dims)
-    w0 = np.array(base or [1 / k] * k)
-    table = np.random.default_rng(seed).dirichlet(concentration * w0 * k, draws)
-    weights = df.sparkSession.createDataFrame([(d, [float(x) for x in row]) for d, row in enumerate(table)], "draw int, w array<double>")  # `draws` rows
-    rows = df.dropna(subset=list(dims))
-    total = lambda w: sum((F.col(d) * w(j) for j, d in enumerate(dims)), F.lit(0.0))
-    each = rows.crossJoin(F.broadcast(weights)).select("draw", id_col, total(lambda j: F.lit(float(w0[j]))).alias("a"), total(lambda j: F.col("w")[j]).alias("b"))
-    ranked = average_rank(average_rank(each, "a", "ra", ["draw"]), "b", "rb", ["draw"])
-    n = F.count("*")
-    return ranked.groupBy("draw").agg(F.corr("ra", "rb").alias("spearman"), (F.avg(F.abs(F.col("ra") - F.col("rb"))) / F.greatest(n - 1, F.lit(1)) * 100).alias("mean_shift"))
+    """(draw, spearman, mean_shift) of indices with Dirichlet weights against the base weights; spearman is null without spread.
+
+    Rows of equal dimensions are one point. A task sorts all points, up to POINTS, for a group of
+    draws; of more points, those of one run of a draw's index.
+    """
+    w0 = np.array(base or [1 / len(dims)] * len(dims))
+    table = np.random.default_rng(seed).dirichlet(concentration * w0 * len(dims), draws)
+    names = [f"__d{j}" for j in range(len(dims))]
+    rows = df.dropna(subset=list(dims)).select(*(F.col(d).cast("double").alias(c) for d, c in zip(dims, names)))
+    # rows of equal dimensions have equal indices in all draws
+    points = rows.groupBy(*names).agg(F.count("*").alias("__c")).withColumn("__a", sum((F.col(c) * float(w) for c, w in zip(names, w0)), F.lit(0.0)))
+    points = settled(points)
+    at = positions(points, F.col("__a"), F.col("__c")).select("__v", (F.col("__before") + (F.col("__w") + 1) / 2).alias("__ra"))
+    points = settled(points.join(at, F.col("__a") == F.col("__v")).select(*names, F.col("__c").cast("double").alias("__c"), "__ra"))
+    size = points.agg(F.count("*").alias("n"), F.sum("__c").alias("rows")).first()
+    if size["n"] <= POINTS:
+        per, cuts, before = -(-draws // GROUPS), np.empty((draws, 0)), np.zeros((draws, 1))
+    else:
+        per = 1
+        cuts, before = _cuts(points, names, table, size["n"])
+    groups, middle = -(-draws // per), ((size["rows"] or 0) + 1) / 2
+    at_once = max(8, SENT // max(1, size["n"] * 8 * (len(dims) + 2)))
+    parts = [_rank_sums(points, names, table, cuts, before, middle, per, range(g, min(g + at_once, groups))) for g in range(0, groups, at_once)]
+    if len(parts) > 1:
+        parts = [settled(x) for x in parts]
+    sums = reduce(DataFrame.union, parts).groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("n", "ab", "aa", "bb", "shift")))
+    rho = F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.nullif(F.col("aa") * F.col("bb"), F.lit(0.0))))
+    return sums.select("draw", rho.alias("spearman"), (F.col("shift") / F.col("n") / F.greatest(F.col("n") - 1, F.lit(1.0)) * 100).alias("mean_shift"))
+
+
+def _index(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    out = np.zeros(x.shape[1])
+    for row, v in zip(x, w):
+        out = out + row * v
+    return out
+
+
+def _columns(batch) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+
+
+def _cuts(points: DataFrame, names: Sequence[str], table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """By draw: the index values that part runs of about POINTS points, and the rows before each run. Values packed into one of BINS steps stay together."""
+    ends = points.agg(*(f(c).alias(f"{k}{c}") for k, f in (("l", F.min), ("h", F.max)) for c in names)).first()
+    low, high = (np.array([_index(np.array([[ends[f"{k}{c}"]] for c in names]), w)[0] for w in table]) for k in "lh")
+    edges = low[:, None] + (high - low)[:, None] * np.arange(1, BINS) / BINS
+
+    def run(batches):
+        counts = np.zeros((2, len(table), BINS))
+        for batch in batches:
+            x = _columns(batch)
+            for d, w in enumerate(table):
+                bin_ = np.searchsorted(edges[d], _index(x[: len(names)], w), "right")
+                counts[0, d] += np.bincount(bin_, minlength=BINS)
+                counts[1, d] += np.bincount(bin_, x[len(names)], BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(table)), pa.int32()), pa.array([counts[:, d].tobytes() for d in range(len(table))], pa.binary())], names=["draw", "counts"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x) for x in rows.column("counts").to_pylist())
+        return pa.table({"draw": rows.column("draw")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    runs = -(-n // POINTS)
+    cuts, before = np.zeros((len(table), runs - 1)), np.zeros((len(table), runs))
+    for r in points.mapInArrow(run, "draw int, counts binary").groupBy("draw").applyInArrow(added, "draw int, counts binary").toLocalIterator():
+        number, weight = np.frombuffer(r["counts"]).reshape(2, BINS).cumsum(1)
+        at = np.minimum(np.searchsorted(number, n * np.arange(1, runs) / runs), BINS - 2)
+        cuts[r["draw"]], before[r["draw"], 1:] = edges[r["draw"]][at], weight[at]
+    return cuts, before
+
+
+def _rank_sums(points: DataFrame, names: Sequence[str], table: np.ndarray, cuts: np.ndarray, before: np.ndarray, middle: float, per: int, groups: range) -> DataFrame:
+    """(draw, n, ab, aa, bb, shift): sums over the rows of each run of a draw, ranks taken from their middle.
+
+    Points go, packed, to each group of `per` draws whole, or if there are cuts to the runs of their one draw.
+    """
+    k = len(names)
+
+    def send(batches):
+        for batch in batches:
+            x = _columns(batch)
+            keys, packed = [], []
+            for g in groups:
+                run = np.searchsorted(cuts[g], _index(x[:k], table[g]), "right") if cuts.shape[1] else np.zeros(x.shape[1], np.int64)
+                for r in np.unique(run):
+                    keys.append((g, int(r)))
+                    packed.append(np.ascontiguousarray(x[:, run == r] if cuts.shape[1] else x).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in keys], pa.int32()), pa.array([r for _, r in keys], pa.int32()), pa.array(packed, pa.binary())], names=["g", "r", "packed"])
+
+    def sums(part: pa.Table) -> pa.Table:
+        g, r = part.column("g")[0].as_py(), part.column("r")[0].as_py()
+        x = np.concatenate([np.frombuffer(b).reshape(k + 2, -1) for b in part.column("packed").to_pylist()], axis=1)
+        out = []
+        for d in range(g * per, min((g + 1) * per, len(table))):
+            b = _index(x[:k], table[d])
+            order = np.argsort(b)
+            b, c, ra = b[order], x[k][order], x[k + 1][order] - middle
+            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            same = np.add.reduceat(c, first)
+            rb = np.repeat(before[d, r] + np.cumsum(same) - same + (same + 1) / 2 - middle, np.diff(np.append(first, len(b))))
+            out.append((d, c.sum(), (c * ra * rb).sum(), (c * ra * ra).sum(), (c * rb * rb).sum(), (c * np.abs(ra - rb)).sum()))
+        return pa.table([pa.array(v) for v in zip(*out)], names=["draw", "n", "ab", "aa", "bb", "shift"]).cast(pa.schema([("draw", pa.int32()), *((c, pa.float64()) for c in ("n", "ab", "aa", "bb", "shift"))]))
+
+    return points.mapInArrow(send, "g int, r int, packed binary").groupBy("g", "r").applyInArrow(sums, "draw int, n double, ab double, aa double, bb double, shift double")
 
 
 def cronbach(df: DataFrame, columns: Sequence[str]) -> DataFrame:

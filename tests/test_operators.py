@@ -435,3 +435,34 @@ def test_accessibility_joins_places(spark, monkeypatch):
             raw[c] = sum(v * 0.5 * (1 + cos(pi * max(0, min(1, (z - 10) / 50)))) for v, z in zip(w, d) if z <= 60)
         assert found[k] == pytest.approx((100 * raw["a"] / 3.5, 100 * raw["b"], 100 * (raw["a"] + raw["b"]) / 4.5))
     assert len(found) == 40 and sum(joined) < 1000
+
+
+def test_weight_sensitivity_of_many_rows(spark, monkeypatch):
+    """As by ranks of every draw, whole or by runs; no row for each row and draw."""
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(k, float(rng.randrange(9)), rng.random(), None if k == 5 else float(k % 4)) for k in range(200)]
+    df = spark.createDataFrame(rows + [(k + 200, *r[1:]) for k, r in enumerate(rows[:80])], "id long, a double, b double, c double")
+    data = np.array([r[1:] for r in df.dropna().select("id", "a", "b", "c").collect()], float)
+
+    def ranks(v):
+        s = np.sort(v)
+        return (np.searchsorted(s, v) + np.searchsorted(s, v, "right") + 1) / 2
+
+    def index(w):
+        return data[:, 0] * w[0] + data[:, 1] * w[1] + data[:, 2] * w[2]
+
+    ra, expected = ranks(index([1 / 3] * 3)), []
+    for w in np.random.default_rng(42).dirichlet(np.full(3, 10.0), 7):
+        rb = ranks(index(w))
+        expected.append((np.corrcoef(ra, rb)[0, 1], np.abs(ra - rb).mean() / (len(ra) - 1) * 100))
+    for points, bins in ((10**6, 64), (50, 64), (50, 3)):
+        monkeypatch.setattr(composite, "POINTS", points)
+        monkeypatch.setattr(composite, "BINS", bins)
+        out = composite.weight_sensitivity(df, ["a", "b", "c"], "id", draws=7)
+        found = sorted((r.draw, r.spearman, r.mean_shift) for r in out.collect())
+        assert [x[0] for x in found] == list(range(7))
+        assert [x[1:] for x in found] == [pytest.approx(e) for e in expected]
+        assert "Join Cross" not in out._jdf.queryExecution().analyzed().toString()
+    assert composite.weight_sensitivity(df.where("a > 99"), ["a", "b", "c"], "id", draws=7).count() == 0
