@@ -370,6 +370,24 @@ def test_line_dedup(spark):
     assert len(dedup_lines(many, similarity=1.0).first().text.split("\n")) == 500
 
 
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """No step of line dedup runs Python on the executors."""
+    from brindle.llm.common import Scratch
+    from brindle.llm.line_dedup import dedup_lines
+
+    plans, make = [], Scratch.table
+
+    def table(self, df, name, *rest, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return make(self, df, name, *rest, **options)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    df = spark.createDataFrame([(1, "one line of words"), (2, "one line of words")], "doc_id long, text string")
+    out = dedup_lines(df)
+    assert [r.n_removed for r in out.orderBy("doc_id").collect()] == [0, 1]
+    assert plans and not any(x in p for p in plans for x in ("Arrow", "Python", "Pandas"))
+
+
 def test_line_candidates_with_a_small_vocabulary(spark, monkeypatch):
     """Unrelated lines of few words hardly meet, and what told lines apart goes before they are compared."""
     from brindle.llm import line_dedup
