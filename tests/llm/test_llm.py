@@ -388,6 +388,32 @@ def test_line_dedup_runs_no_python(spark, monkeypatch):
     assert plans and not any(x in p for p in plans for x in ("Arrow", "Python", "Pandas"))
 
 
+def test_line_keys_move_once(spark, monkeypatch):
+    """Keys of two lines need one exchange and no join; lines that hold a key twice are found."""
+    from brindle.llm.common import Scratch
+    from brindle.llm.line_dedup import dedup_lines
+
+    plans, make = {}, Scratch.table
+
+    def table(self, df, name, *rest, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return make(self, df, name, *rest, **options)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):  # three to five near copies of lines that repeat their words, so keys have two lines and more
+        w = prose(rng, 6).split() * rng.randint(2, 6)
+        for j in range(rng.randint(3, 5)):
+            v = list(w)
+            for _ in range(len(w) // 12):
+                v[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * j + k, " ".join(v)))
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, v in got.items() if v} == set(range(30))
+    assert "Join" not in plans["sums-0"] and plans["sums-0"].count("Exchange hashpartitioning") == 1
+
+
 def test_line_candidates_with_a_small_vocabulary(spark, monkeypatch):
     """Unrelated lines of few words hardly meet, and what told lines apart goes before they are compared."""
     from brindle.llm import line_dedup
