@@ -449,6 +449,34 @@ def test_line_candidates_with_a_small_vocabulary(spark, monkeypatch):
     assert {"links-1", "more-1"} & set(seen)
 
 
+def test_unlike_lines_with_common_keys_are_dropped_by_sketches(spark, monkeypatch):
+    """Words of lines that share a rare passage and nothing else don't move, and keys are made without an array of numbers a line."""
+    from brindle.llm.common import Scratch
+    from brindle.llm.line_dedup import dedup_lines
+
+    plans, seen, make = {}, {}, Scratch.table
+
+    def table(self, df, name, *rest, **options):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        out = make(self, df, name, *rest, **options)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    lines = []
+    for of in (2, 2, 2, 2, 30):  # a passage in two lines, listed as pairs, and in many
+        for _ in range(20 if of == 2 else 2):
+            passage = words(16)
+            lines += [" ".join([*words(7), *passage, *words(7)]) for _ in range(of)]
+    near = [" ".join(["other", *x.split()[1:-3], *words(3)]) for x in lines[:25]]
+    df = spark.createDataFrame(list(enumerate(lines + near)), "doc_id long, text string")
+    assert {r.doc_id for r in dedup_lines(df).where("n_removed > 0").collect()} == set(range(len(lines), len(lines) + 25))
+    assert seen["asked"] >= 80 and seen["strings"] <= 60 and seen.get("few", 0) <= 10
+    assert not any(x in plans["sums-0"] for x in ("transform(", "sort_array("))
+
+
 def test_near_lines_are_found(spark):
     """Lines of 100 words with one changed go; unlike lines of a similar vocabulary stay."""
     from brindle.llm.line_dedup import dedup_lines
