@@ -414,6 +414,26 @@ def test_line_keys_move_once(spark, monkeypatch):
     assert "Join" not in plans["sums-0"] and plans["sums-0"].count("Exchange hashpartitioning") == 1
 
 
+def test_lines_are_normalised_by_texts(spark, monkeypatch):
+    """Other characters go by one search a text, not by a split of each line; long periodic lines, and words between any other characters, are told apart as before."""
+    from brindle.llm.common import Scratch
+    from brindle.llm.line_dedup import dedup_lines
+
+    plans, make = {}, Scratch.table
+
+    def table(self, df, name, *rest, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return make(self, df, name, *rest, **options)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    own, other = " ".join(["one", "two", "three"] * 300), " ".join(["four", "five"] * 300)
+    near = " ".join(["one", "two", "three"] * 299 + ["x", "y", "z"])
+    rows = [(1, own), (2, other), (3, near), (4, "Mixed,\tÉcole\u00a0no.7 of\rmany words here"), (5, "mixed école!? (no) 7 of  many words\u2003here")]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
+    assert "regexp_replace" in plans["occurrences"]
+
+
 def test_line_candidates_with_a_small_vocabulary(spark, monkeypatch):
     """Unrelated lines of few words hardly meet, and what told lines apart goes before they are compared."""
     from brindle.llm import line_dedup
